@@ -8,9 +8,10 @@ each treated as a document of its own.
 from __future__ import annotations
 
 import hashlib
-import re
+import string
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ SLICE_BYTES = 8 << 20
 
 _ARROW = {
     "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
-    "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+    "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
 }
 
 
@@ -91,31 +92,50 @@ def map_texts(df: DataFrame, fn: Callable, out: dict[str, str], keep: tuple[str,
     return source.mapInArrow(task, ddl)
 
 
-class Words(dict):
-    """Word to 64-bit hash.  Forgets everything when full, so that memory stays bounded."""
+def word_hash(word: str | bytes) -> int:
+    """64 bits that stand for a word."""
+    raw = word.encode("utf-8", "replace") if isinstance(word, str) else word
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
 
-    def __init__(self, norm: Callable[[str], str] | None = None, most: int = 300_000) -> None:
+
+def place_hash(word: str, seed: int = 0) -> int:
+    """A cheaper hash for places of a model, where collisions are part of the method."""
+    return zlib.crc32(word.encode("utf-8", "replace"), seed) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+
+
+class WordTable(dict):
+    """Word to a row of hashes made by ``forms(word) -> tuple of hashes``.
+
+    Between documents it forgets everything once it has ``most`` words, so memory stays bounded.
+    """
+
+    def __init__(self, forms: Callable, width: int, most: int = 300_000) -> None:
         super().__init__()
-        self.norm, self.most = norm, most
+        self.forms, self.most = forms, most
+        self.rows = np.zeros((4096, width), np.uint64)
 
     def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        w = self.norm(word) if self.norm else word
-        value = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace") if isinstance(w, str) else w, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = self.forms(word)
+        self[word] = at
+        return at
 
     def hashes(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        """One row of hashes for each word."""
+        if len(self) > self.most:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.rows[at]
 
 
-_EDGES = re.compile(r"^\W+|\W+$")
+_EDGES = string.punctuation + "¡¿«»„“”‘’…–—"
 
 
 def bare(word: str) -> str:
     """Lower case without punctuation at the ends."""
-    return _EDGES.sub("", word.lower())
+    return word.strip(_EDGES).lower()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, media, sentencepiece_bpe
+from . import exact_dedup, media, mixing, near_dedup, quality, sentencepiece_bpe, toxicity
 from .common import table
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     out = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -17,17 +25,30 @@ def op2_media_columns(spark, sf_dir):
     return media.media_features(media.stored_media(table(spark, sf_dir, "documents")))
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
     "op2_media_columns": op2_media_columns,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL = {
+    "op7_mixing": mixing.SQL,
     "op6_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
