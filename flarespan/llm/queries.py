@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, media, mixing, near_dedup, quality, sentencepiece_bpe, toxicity
+from . import exact_dedup, licenses, media, mixing, near_dedup, quality, repeats, secrets, sentencepiece_bpe, toxicity
 from .common import table
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,6 +25,10 @@ def op6_exact_dedup(spark, sf_dir):
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_license_scan(spark, sf_dir):
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark, sf_dir):
     return media.media_features(media.stored_media(table(spark, sf_dir, "documents")))
 
@@ -29,6 +37,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secrets.found_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -38,16 +50,20 @@ def op10_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_media_columns": op2_media_columns,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dedup": op10_near_dedup,
 }
 
 SQL = {
+    "op1_license_scan": licenses.sql(),
     "op7_mixing": mixing.SQL,
     "op6_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
