@@ -118,13 +118,12 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 def array_of(rows: DataFrame) -> DataFrame:
-    """Sorted distinct entries with their number and one place."""
-    place = F.min(F.struct("k1", "k2", "first", "last")).alias("place")
-    return stored(rows.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("n"), place).sortWithinPartitions(*ENTRY), "level")
+    """Sorted distinct entries with their number."""
+    return stored(rows.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions(*ENTRY), "level")
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.unionByName(b).groupBy(*ENTRY).agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    both = a.unionByName(b).groupBy(*ENTRY).agg(F.sum("n").alias("n"))
     return stored(both.sortWithinPartitions(*ENTRY), "level")
 
 
@@ -169,26 +168,25 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def strings(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """k1, k2, gram, string (fingerprint), at: every LENGTH-byte string of the listed runs."""
-    rows = keyed(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "raw", "listed.first", "listed.last", "listed.gram")
+    """list_id, gram, string (fingerprint), at: every LENGTH-byte string of the listed runs."""
+    rows = keyed(docs).join(lists, ["k1", "k2"]).select("list_id", "raw", "listed.first", "listed.last", "listed.gram")
 
     def task(batches):
         roll = Rolling()
         for batch in batches:
-            for lo, hi in slices(batch.column(2)):
-                part, cols = batch.slice(lo, hi - lo), [[] for _ in range(5)]
-                for r in part.to_pylist():
+            for lo, hi in slices(batch.column(1)):
+                cols = [[] for _ in range(4)]
+                for r in batch.slice(lo, hi - lo).to_pylist():
                     sums = roll.sums(np.frombuffer(r["raw"], np.uint8))
                     sizes = np.array(r["last"]) - np.array(r["first"]) + 1
                     at = np.concatenate([np.arange(a, b + 1) for a, b in zip(r["first"], r["last"], strict=True)])
                     whole = roll.prints(sums, at, at + LENGTH).view(np.int64)
-                    n = len(at)
-                    for c, v in zip(cols, (np.full(n, r["k1"]), np.full(n, r["k2"]), np.repeat(np.array(r["gram"]), sizes), whole, at.astype(np.int32)), strict=True):
+                    for c, v in zip(cols, (np.full(len(at), r["list_id"]), np.repeat(np.array(r["gram"]), sizes), whole, at.astype(np.int32)), strict=True):
                         c.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["k1", "k2", "gram", "string", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["list_id", "gram", "string", "at"])
 
-    return rows.mapInArrow(task, "k1 bigint, k2 bigint, gram bigint, string bigint, at int")
+    return rows.mapInArrow(task, "list_id bigint, gram bigint, string bigint, at int")
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -197,18 +195,22 @@ def covered(docs: DataFrame) -> DataFrame:
     family = Family()
     for k in range(BATCHES):
         family.add(found.where(F.pmod(F.xxhash64("k1"), F.lit(BATCHES)) == k))
-    whole = family.whole()
-    same = whole.where("n > 1").select(*ENTRY)
-    runs_twice = found.join(same, list(ENTRY), "left_semi").select("k1", "k2", "first", "last")
-
-    mixed = whole.join(family.shared(), ["head", "gram"], "left_semi")
-    listed = F.collect_list(F.struct("place.first", "place.last", "gram")).alias("listed")
-    lists = mixed.groupBy("place.k1", "place.k2").agg(listed)
+    near = family.shared().withColumn("mixed", F.lit(True))
+    flags = family.whole().join(near, ["head", "gram"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("n > 1 OR mixed")
+    rows = stored(found.join(flags, list(ENTRY)), "runs")
+
+    # one place of each different run that shares its suffix with another
+    places = [F.first(c).alias(c) for c in ("k1", "k2", "first", "last")]
+    many = rows.where("mixed AND n > 1").groupBy(*ENTRY).agg(*places)
+    each = rows.where("mixed AND n = 1").select("k1", "k2", "gram", "first", "last").unionByName(many.select("k1", "k2", "gram", "first", "last"))
+    lists = each.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "gram")).alias("listed"))
+    lists = stored(lists.withColumn("list_id", F.monotonically_increasing_id()), "lists")
     every = stored(strings(docs, lists), "strings")
     twice = every.groupBy("gram", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "string")
-    single = every.join(twice, ["gram", "string"], "left_semi").select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = runs_twice.unionByName(single).distinct()
-    return stored(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    single = every.join(twice, ["gram", "string"], "left_semi").groupBy("list_id").agg(F.collect_list("at").alias("at"))
+    single = single.join(lists.select("list_id", "k1", "k2"), "list_id").select("k1", "k2", F.transform("at", lambda x: F.struct(x.alias("first"), x.alias("last"))).alias("spans"))
+    whole = rows.where("n > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return stored(whole.unionByName(single).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
