@@ -5,8 +5,8 @@
    member that meets the most others, so a bucket of n gives n - 1 pairs.
 3. Pairs pass the signature estimate, then their full shingle sets are compared exactly.
 4. Components by alternating large-star and small-star.
-5. Buckets that still hold several components are searched for pairs across components, in blocks
-   of bounded size, by signature inside the task; what passes is confirmed on full sets too.
+5. Buckets that still hold several components are searched for links across components, in blocks
+   of bounded size, on full sets inside the task.
 
 A document without words is linked with nothing.  Null ids take no part in links.
 """
@@ -25,7 +25,10 @@ from .common import WordTable, map_texts, mix, ngrams, stored, word_hash
 MISS = 2e-6
 #: The estimate may fall short of the threshold by this before a pair is given up (over five deviations).
 SLACK = 0.2
-BLOCK = 256
+BLOCK = 512
+BLOCK_BYTES = 16 << 20
+#: Cells of a 0/1 matrix of rows and shingles.
+CELLS = 1 << 21
 MOST_MINIMA = 128
 
 
@@ -154,42 +157,74 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(task, pairs.select("a", "b").schema)
 
 
-def across(members: DataFrame, sigs: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and pass the signature estimate.
-
-    ``members``: bucket, band, doc_id, component.  A bucket is cut into blocks of about BLOCK rows
-    and each task compares two blocks, so memory is bounded whatever the size of a bucket.
+def forest(left: np.ndarray, right: np.ndarray, hits: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (left[i], right[j]) in ``hits``, those that join two classes of ``root`` not yet joined."""
+    out = []
+    for i, x in enumerate(left):
+        to = right[hits[i]]
+        to = to[root[to] != root[x]]
+        for y in to[np.unique(root[to], return_index=True)[1]]:
+            out.append((x, y))
+            root[root == root[y]] = root[x]
+    return out
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``left`` with sets ``right``: products of 0/1 matrices, some shingles at a time."""
+    names, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = n[at] > 1
+    at, owner = (np.cumsum(n > 1) - 1)[at[shared]], owner[shared]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    width = max(64, CELLS // len(sets))
+    inner = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int((n > 1).sum()), width):
+        part = slice(*np.searchsorted(at, (lo, lo + width)))
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[part], at[part] - lo] = 1
+        inner += (x[left] @ x[right].T).astype(np.int64)
+    return inner
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, compared on full sets; enough of them to join what belongs together.
+
+    ``members``: bucket, doc_id, component.  A bucket is cut into blocks of about BLOCK rows and
+    BLOCK_BYTES of sets, and each task compares two blocks, so memory is bounded whatever the size
+    of a bucket.  No pairs leave a task but links that join components, fewer than its rows.
+    Buckets with the same members are searched once.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
-    rows_ = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rows_ = rows_.join(sigs.select("doc_id", "sig"), "doc_id")
+    h = F.xxhash64("doc_id")
+    sizes = members.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mixed_bits"), (F.min("component") != F.max("component")).alias("mixed")
+    ).where("mixed")
+    sizes = sizes.groupBy("n", "bytes", "total", "mixed_bits").agg(F.min("bucket").alias("bucket"))
+    sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "bucket").withColumn("block", F.pmod(h, "blocks").cast("int")).join(sets, "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows_ = rows_.select("bucket", "band", "doc_id", "component", "sig", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = rows.select("bucket", "doc_id", "component", "set", "block", other).select("bucket", "doc_id", "component", "set", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
-    def search(key, pdf):
-        import pandas as pd
+    def search(key, table):
+        import pyarrow as pa
 
-        pdf = pdf.drop_duplicates("doc_id")
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), bands, rows)
-        ids, comp, block, band = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy(), int(pdf["band"].iloc[0])
-        a, b = [], []
-        for i in range(len(pdf) - 1):
-            rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((key[1] == key[2]) | (block[i + 1 :] != block[i]))) + i + 1
-            if len(rest):
-                same = sig[rest] == sig[i]
-                first = same.all(2).argmax(1)  # each pair belongs to the first band it shares
-                rest = rest[(first == band) & (same.mean((1, 2)) >= least)]
-                a.extend(np.minimum(ids[rest], ids[i]))
-                b.extend(np.maximum(ids[rest], ids[i]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        found = []
+        ids, component, block = (table.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+        if component.min() != component.max():
+            texts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
+            size = np.array([len(x) for x in texts])
+            left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+            inner = intersections(texts, left, right)
+            hits = 100 * inner >= percent * (size[left][:, None] + size[right][None] - inner)
+            found = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in forest(left, right, hits, component.copy())]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows_.groupBy("bucket", "lo", "hi").applyInPandas(search, "a bigint, b bigint")
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(search, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     threshold = percent / 100
-    bands, rows = banding(threshold)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sigs = stored(signatures(slim, k, threshold), "signatures")
     copies = stored(sigs.where("copy IS NOT NULL AND doc_id IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("rep")), "copies")
@@ -217,9 +252,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     edges = stored(confirmed(pairs, sets, percent), "links")
     found = stored(components(edges), "components")
 
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = stored(across(placed.select("bucket", "band", "doc_id", "component"), few, bands, rows, threshold - SLACK).distinct(), "across")
-    links = stored(confirmed(more, sets, percent), "links")
+    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sets.select("doc_id", F.octet_length("set").alias("bytes")), "doc_id")
+    placed = stored(placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"), "bytes"), "placed")
+    links = stored(across(placed, sets, percent), "links")
     if not links.isEmpty():
         tree = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = stored(components(tree.unionByName(links.select("a", "b"))), "components")

@@ -75,11 +75,11 @@ def test_repeats_equal_brute_force(docs):
         assert got[i].kept_sha256 == hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def test_near_groups_equal_brute_force(docs):
+def brute_near(rows):
     sets = {}
-    for r in docs.collect():
-        w = (r.text or "").encode().lower().split()
-        sets[r.doc_id] = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
     root = {i: i for i in sets}
 
     def find(x):
@@ -94,8 +94,28 @@ def test_near_groups_equal_brute_force(docs):
             if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_near_groups_equal_brute_force(docs):
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, 3, 85).collect()}
-    assert got == {i: find(i) for i in ids}
+    assert got == brute_near([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_near_groups_about_the_threshold_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 6)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute_near(rows)
+    assert 1 < len(set(want.values())) < 150
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
 def test_encoding_equals_library():
