@@ -27,6 +27,10 @@ MISS = 2e-6
 SLACK = 0.2
 BLOCK = 512
 BLOCK_BYTES = 16 << 20
+#: Up to this many pairs of a block are compared one by one.
+FEW = 64
+#: Smallest hashes of a set from which a similarity is estimated.
+SAMPLE = 512
 #: Cells of a 0/1 matrix of rows and shingles.
 CELLS = 1 << 21
 MOST_MINIMA = 128
@@ -143,15 +147,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (2, 3))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                inner = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * inner >= percent * (len(x) + len(y) - inner))
+            sets = [[np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(c)] for c in (2, 3)]
+            keep = [alike(x, y, percent) for x, y in zip(*sets, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(task, pairs.select("a", "b").schema)
@@ -187,6 +184,23 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return inner
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity.  Large sets are estimated from their smallest hashes before the full comparison."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+
+    def enough(x, y, percent):
+        at = np.searchsorted(y, x)
+        inner = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+        return 100 * inner >= percent * (len(x) + len(y) - inner)
+
+    if min(len(x), len(y)) > 2 * SAMPLE:
+        most = min(x[SAMPLE], y[SAMPLE])
+        if not enough(x[: np.searchsorted(x, most)], y[: np.searchsorted(y, most)], percent - 100 * SLACK):
+            return False
+    return enough(x, y, percent)
+
+
 def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket, compared on full sets; enough of them to join what belongs together.
 
@@ -214,8 +228,11 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             texts = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
             size = np.array([len(x) for x in texts])
             left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-            inner = intersections(texts, left, right)
-            hits = 100 * inner >= percent * (size[left][:, None] + size[right][None] - inner)
+            if len(left) * len(right) <= FEW:
+                hits = np.array([[component[i] != component[j] and alike(texts[i], texts[j], percent) for j in right] for i in left])
+            else:
+                inner = intersections(texts, left, right)
+                hits = 100 * inner >= percent * (size[left][:, None] + size[right][None] - inner)
             found = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in forest(left, right, hits, component.copy())]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
