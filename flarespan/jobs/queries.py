@@ -10,8 +10,10 @@ from flarespan.functions import encoding as enc
 from flarespan.operators import confidence as conf
 from flarespan.operators import estimation as est
 from flarespan.operators import evaluation as ev
+from flarespan.operators import embedding as emb
 from flarespan.operators import graph, slots
 from flarespan.sources import transactions as src
+from flarespan.sources.lineage import checkpointed
 
 I, FR = 1.2, 1.5
 SPLIT = "2024-01-24"
@@ -127,6 +129,58 @@ def run_summary(spark, d):
     return one.crossJoin(two)  # two rows of one
 
 
+def views(spark, d) -> DataFrame:
+    """Two blocks of raw numbers of each event."""
+    return tx(spark, d).select("row_id", F.array("amount", "k", "cnt_1h").alias("va"), F.array(F.coalesce("n_orders", F.lit(0.0)), F.coalesce("acctbal", F.lit(0.0)), F.lit(1.0)).alias("vb"))
+
+
+def places(df: DataFrame, vector: str) -> DataFrame:
+    return df.select("row_id", F.posexplode(vector).alias("place", "v")).withColumn("v", F.round("v", 6))
+
+
+def unseen(spark, d) -> DataFrame:
+    """The vectors that are not in the reference."""
+    return vectors(spark, d).join(reference(spark, d).select("row_id"), "row_id", "left_anti")
+
+
+def embedded(spark, d) -> DataFrame:
+    ref = checkpointed(reference(spark, d))
+    fitted = emb.fit_embeddings(ref.select(F.lit(0).alias("fold"), F.lit("x").alias("level"), "row_id", "label", "x"), 0.05, 0.03)
+    return emb.embed(unseen(spark, d), emb.weights_of(fitted, 0, "x"), ref, 0.05, 0.03)
+
+
+def encoded(spark, d) -> DataFrame:
+    t = tx(spark, d)
+    return enc.encode(t, enc.fit_encoder(t, ROLES))
+
+
+def enriched(spark, d) -> DataFrame:
+    rows = checkpointed(encoded(spark, d).select("row_id", "ts", "amount", "label", "v_transaction"))
+    return emb.oof_enrich(rows, "v_transaction", frequency=FR).select("row_id", "fold", F.round(F.sqrt(enc.dot(F.col("fused"), F.col("fused"))), 6).alias("length"))
+
+
+def detected(spark, d) -> DataFrame:
+    """A detector of the first weeks scores the last one."""
+    rows = checkpointed(encoded(spark, d).select("row_id", "ts", "amount", F.col("label").alias("target"), F.lit(1.0).alias("weight"), F.col("v_original").alias("features")))
+    train, test = src.temporal_split(rows, SPLIT)
+    s = est.fraud_scores(test, est.fit_detector(train))
+    out = est.predictions(slots.adjust_scores(s, slots.lifetimes(stats(spark, d))))
+    return r6(out.select("row_id", "p_normal", "p_fraud"), "p_normal", "p_fraud")
+
+
+def slot_rows(spark, d) -> DataFrame:
+    """Standardised slot features with whether the slot is active."""
+    f = feature_slots(spark, d)
+    names = [c for c in f.columns if c != "slot"]
+    z = est.standardize_slots(f, names).select("slot", F.array(*[F.col(c).cast("double") for c in names]).alias("features"))
+    return checkpointed(z.join(stats(spark, d).select("slot", F.col("active").cast("int").alias("target")), "slot"))
+
+
+def estimated(spark, d) -> DataFrame:
+    rows = slot_rows(spark, d)
+    return slots.lifetimes(est.estimated_active(rows, est.fit_slot_ensemble(rows)))
+
+
 QUERIES = {
     "lifetime_summary": summary,
     "a1_read_transactions": lambda s, d: r6(src.event_transactions(s, d).select("row_id", "user_id", "amount", "label", "k", "gap_sec", "cnt_1h", "sum_1h", "k_band", "n_orders", "avg_total", "last_status", "segment", "region"), "gap_sec", "sum_1h", "avg_total"),
@@ -137,6 +191,7 @@ QUERIES = {
     "b5_one_hot": one_hots,
     "b6_fit_encoder": lambda s, d: r6(enc.fit_stats(tx(s, d), ROLES), "median", "least", "most"),
     "b7_b8_encode": encoded_sums,
+    "b9_scale_views": lambda s, d: places(enc.scale_views(views(s, d), ["va", "vb"]).withColumn("v", F.concat("va", "vb")), "v"),
     "c1_with_slot": lambda s, d: slots.with_slot(events(s, d)).select("row_id", "slot"),
     "c2_slot_totals": lambda s, d: r6(slots.slot_totals(slots.with_slot(events(s, d))), "amount", "fraud_amount"),
     "c3_slot_grid": lambda s, d: r6(slots.slot_grid(slots.slot_totals(slots.with_slot(events(s, d)))), "amount", "fraud_amount"),
@@ -150,14 +205,22 @@ QUERIES = {
     "d2_minmax_importance": lambda s, d: r6(graph.minmax_importance(importance(s, d)), "phi"),
     "d3_level_weights": lambda s, d: r6(graph.level_weights(graph.minmax_importance(importance(s, d)), slots.active_averages(stats(s, d))), "weight"),
     "d4_project": lambda s, d: vectors(s, d).select("row_id", F.posexplode(graph.project(F.col("x"), 24)).alias("place", "v")).withColumn("v", F.round("v", 6)),
+    "d5_fuse": lambda s, d: places(views(s, d).select("row_id", graph.fuse(F.col("va"), F.col("vb")).alias("v")), "v"),
+    "d6_final_features": lambda s, d: places(views(s, d).select("row_id", F.concat("va", "vb", graph.fuse(F.col("va"), F.col("vb"))).alias("v")), "v"),
     "e1_stratified_sample": lambda s, d: reference(s, d).select("row_id", "label"),
     "e2_k_from_ratio": lambda s, d: vectors(s, d).select("row_id", graph.k_from_ratio(F.col("row_id") % 10 / 8, F.col("row_id") % 37).alias("k")),
     "e3_signed_knn_edges": lambda s, d: r6(edges(s, d), "distance"),
     "e4_edge_weights": lambda s, d: r6(graph.edge_weights(edges(s, d)).select("src", "dst", "weight"), "weight"),
     "e5_vote_label": lambda s, d: graph.vote_label(edges(s, d), reference(s, d), 3),
+    "e6_query_edges": lambda s, d: r6(emb.query_edges(unseen(s, d), reference(s, d), 0.05, 0.03, 2.0), "distance"),
     "e7_signed_neighbor_mean": lambda s, d: r6(graph.signed_neighbor_mean(graph.edge_weights(edges(s, d)), reference(s, d)), "mean").withColumnRenamed("at", "place"),
+    "e8_e9_embed": lambda s, d: embedded(s, d).select("row_id", F.size("embedding").alias("width"), F.round(F.sqrt(enc.dot(F.col("embedding"), F.col("embedding"))), 6).alias("length")),
     "e10_fold_assign": lambda s, d: graph.fold_assign(events(s, d), "label").select("row_id", "fold"),
+    "e11_oof_enrich": enriched,
     "e12_edge_reciprocity": lambda s, d: r6(graph.edge_reciprocity(edges(s, d)), "reciprocity"),
+    "e13_path_metrics": lambda s, d: r6(graph.path_metrics(graph.shortest_paths(edges(s, d))), "mean_path"),
+    "e14_strong_components": lambda s, d: graph.strong_components(graph.shortest_paths(edges(s, d)), reference(s, d)),
+    "e15_select_k_ratios": lambda s, d: r6(emb.select_k_ratios(reference(s, d)), "mean_path", "reciprocity", "score"),
     "f1_similarity": lambda s, d: r6(conf.similarity_to_frauds(inside(s, d), ["va", "vb"]), "similarity"),
     "f2_confidence": lambda s, d: r6(sure(s, d).drop("similarity"), "confidence"),
     "f3_high_confidence": lambda s, d: conf.high_confidence(sure(s, d), inside(s, d), 1).select("row_id", "lifetime_id"),
@@ -168,8 +231,11 @@ QUERIES = {
     "f8_temporal_correlation": lambda s, d: r6(conf.temporal_correlation(inside(s, d), ["va", "vb"]).select("i", "j", "view", "m"), "m"),
     "f9_fraud_possibility": lambda s, d: r6(conf.fraud_possibility(raw_possibility(s, d)).select("row_id", "p"), "p"),
     "f10_weighted_training_set": lambda s, d: r6(conf.weighted_training_set(events(s, d), conf.fraud_possibility(raw_possibility(s, d))), "weight"),
+    "g1_g2_g10_detect": detected,
     "g3_standardize_slots": lambda s, d: r6(est.standardize_slots(stats(s, d).select("slot", "intensity", "frequency"), ["intensity", "frequency"]), "intensity", "frequency"),
     "g4_stratified_bootstrap": lambda s, d: est.stratified_bootstrap(stats(s, d).select("slot", "active"), "active", "slot", 1),
+    "g5_g6_estimate_lifetimes": estimated,
+    "g7_holdout": lambda s, d: r6(est.holdout_evaluation(slot_rows(s, d)), "macro_f1", "roc_auc"),
     "g8_nearest_lifetimes": lambda s, d: slots.nearest_lifetimes(events(s, d), slots.lifetimes(stats(s, d))).select("row_id", "prev_end", "next_start"),
     "g9_adjust_scores": lambda s, d: slots.adjust_scores(scored(s, d), slots.lifetimes(stats(s, d))).select("row_id", F.round("adjusted", 6).alias("adjusted")),
     "g12_run_summary": run_summary,

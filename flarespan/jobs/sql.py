@@ -132,7 +132,35 @@ ew AS (SELECT src, dst, sign / (1 + distance) / count(*) OVER (PARTITION BY src)
 TOP5 = f"{SCORED}, {top(5, 'fl')}"
 MANY = ", ".join(top(p, f"f{p}") for p in (1, 2, 5, 10))
 
+VIEWS = f"WITH {TX}, vw AS (SELECT row_id, [amount, k, cnt_1h] AS va, [coalesce(n_orders, 0), coalesce(acctbal, 0), 1] AS vb FROM t)"
+
+
+def by_place(vector: str) -> str:
+    return f"u AS (SELECT row_id, unnest({vector})::DOUBLE AS v, (generate_subscripts({vector}, 1) - 1)::INT AS place FROM vw)"
+
+
+#: Paths of the reference graph by number of hops, and both ways of reaching.
+PATHS = """pa AS (
+    SELECT src, dst, 1 AS hops FROM ed
+    UNION
+    SELECT pa.src, ed.dst, hops + 1 FROM pa JOIN ed ON pa.dst = ed.src WHERE hops < 24),
+sp AS (SELECT src, dst, min(hops) AS hops FROM pa WHERE src <> dst GROUP BY ALL)"""
+
 SQL = {
+    "b9_scale_views": f"{VIEWS}, {by_place('list_concat(va, vb)')} SELECT row_id, place, round(coalesce((v - min(v) OVER p) / nullif(max(v) OVER p - min(v) OVER p, 0), 0), 6) AS v FROM u WINDOW p AS (PARTITION BY place)",
+    "d5_fuse": f"{VIEWS}, {by_place('[va[1] * vb[1], va[2] * vb[2], va[3] * vb[3]]')} SELECT row_id, place, round(v, 6) AS v FROM u",
+    "d6_final_features": f"{VIEWS}, {by_place('[va[1], va[2], va[3], vb[1], vb[2], vb[3], va[1] * vb[1], va[2] * vb[2], va[3] * vb[3]]')} SELECT row_id, place, round(v, 6) AS v FROM u",
+    "e6_query_edges": f"""WITH {VEC},
+cs AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n FROM rf GROUP BY 1),
+kk AS (SELECT label, least(c - 1, greatest(2, round_even(0.05 * (c - 1), 0))) AS kp, least(n - c, greatest(2, round_even(0.03 * (n - c), 0))) AS kn FROM cs),
+qd AS (SELECT a.row_id AS src, b.row_id AS dst, b.label, list_distance(a.x, b.x) AS distance FROM v a CROSS JOIN rf b WHERE a.row_id NOT IN (SELECT row_id FROM rf)),
+vt AS (SELECT src, label, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r FROM qd) WHERE r <= (SELECT greatest(1, min(kp)) FROM kk) GROUP BY ALL),
+own AS (SELECT src, arg_max(label, (m, -label)) AS own FROM vt GROUP BY 1),
+sg AS (SELECT qd.*, own, CASE WHEN label = own THEN 1 ELSE -1 END AS sign FROM qd JOIN own USING (src)),
+rk AS (SELECT sg.*, row_number() OVER (PARTITION BY src, sign ORDER BY distance, dst) AS r FROM sg)
+SELECT src, dst, sign, round(distance, 6) AS distance FROM rk JOIN kk ON kk.label = own WHERE r <= CASE WHEN sign = 1 THEN kp ELSE kn END""",
+    "e13_path_metrics": f"WITH RECURSIVE {VEC}, {PATHS} SELECT coalesce(max(hops), 0) AS diameter, round(coalesce(avg(hops), 0), 6) AS mean_path, count(*) AS pairs FROM sp",
+    "e14_strong_components": f"WITH RECURSIVE {VEC}, {PATHS} SELECT row_id AS node, least(row_id, coalesce((SELECT min(a.dst) FROM sp a JOIN sp b ON a.src = b.dst AND a.dst = b.src WHERE a.src = row_id), row_id)) AS component FROM rf",
     "lifetime_summary": f"{IN} SELECT lifetime_id, count(*) AS n, round(sum(amount * label), 4) AS fraud_amount FROM x WHERE lifetime_id >= 0 GROUP BY 1",
     "a1_read_transactions": f"WITH {TX} SELECT row_id, user_id, amount, label, k, round(gap_sec, 6) AS gap_sec, cnt_1h, round(sum_1h, 6) AS sum_1h, k_band, n_orders, round(avg_total, 6) AS avg_total, last_status, segment, region FROM t",
     "a3_contract_violations": f"""WITH {TX}, b AS (SELECT count(*) FILTER (amount IS NULL OR isnan(amount) OR isinf(amount) OR amount < 0) AS a, count(*) FILTER (ts IS NULL) AS b, count(*) FILTER (created IS NULL) AS c, count(*) FILTER (label IS NULL OR label NOT IN (0, 1)) AS d FROM t)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flarespan.sources.lineage import checkpointed
+
 MOST_REFERENCE = 2_000
 
 
@@ -115,11 +117,11 @@ def edge_reciprocity(edges: DataFrame) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, most: int = 64) -> DataFrame:
     """(src, dst, hops) of all ordered pairs that can be reached, by frontier joins; for the capped reference graph."""
-    e = edges.select("src", "dst").where("src <> dst").distinct().checkpoint()
-    seen = frontier = e.withColumn("hops", F.lit(1)).checkpoint()
+    e = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    seen = frontier = checkpointed(e.withColumn("hops", F.lit(1)))
     for hops in range(2, most + 1):
         step = frontier.select("src", F.col("dst").alias("mid")).join(e.withColumnRenamed("src", "mid"), "mid").where("src <> dst").select("src", "dst").distinct()
-        frontier = step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)).checkpoint()
+        frontier = checkpointed(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)

@@ -12,7 +12,7 @@ from flarespan.config import Settings
 from flarespan.functions import encoding as enc
 from flarespan.jobs.queries import QUERIES
 from flarespan.jobs.sql import SQL
-from flarespan.operators import confidence, evaluation, graph, slots
+from flarespan.operators import confidence, embedding, estimation, evaluation, graph, slots
 from flarespan.sources import transactions
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +34,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["c4_slot_stats", "c5_lifetimes", "c6_assign_lifetime", "b1_b4_scalar_encoding", "e1_stratified_sample", "e3_signed_knn_edges", "f2_confidence", "f3_high_confidence", "g9_adjust_scores", "h7_evaluate"])
+@pytest.mark.parametrize("name", ["c4_slot_stats", "c5_lifetimes", "c6_assign_lifetime", "b1_b4_scalar_encoding", "e1_stratified_sample", "e3_signed_knn_edges", "f2_confidence", "f3_high_confidence", "g9_adjust_scores", "h7_evaluate", "b9_scale_views", "d5_fuse", "d6_final_features", "e6_query_edges", "e13_path_metrics", "e14_strong_components"])
 def test_query_equals_sql(spark, duck, name):
     a, b = plain(QUERIES[name](spark, SF).toPandas()), plain(duck.sql(SQL[name]).df())
     assert a.equals(b)
@@ -98,3 +98,56 @@ def test_scale_views(spark):
 def test_split_needs_both_sides(small):
     with pytest.raises(ValueError):
         transactions.temporal_split(small, "2030-01-01")
+
+
+def test_net_gradient_and_loss():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(30, 4)), np.arange(30) % 3 % 2
+    d = embedding.distances(x, x, 3.0)
+    np.fill_diagonal(d, np.inf)
+    a = embedding.weights_matrix(d.shape, embedding.signed_edges(d, y, y, 0.2, 0.1)).astype(float)
+    w = embedding.start(4, 5, 4, 1)
+    _, g = embedding.loss_and_gradient(w, x, a, y)
+    for k in w:
+        flat = w[k].reshape(-1)
+        for i in (0, len(flat) - 1):
+            keep, ends = flat[i], []
+            for step in (1e-6, -1e-6):
+                flat[i] = keep + step
+                ends.append(embedding.loss_and_gradient(w, x, a, y)[0])
+            flat[i] = keep
+            assert abs((ends[0] - ends[1]) / 2e-6 - g[k].reshape(-1)[i]) < 1e-6
+    losses = embedding.trained(x, a, y)[1]
+    assert losses[-1] < losses[0]
+
+
+def test_graph_measures_by_hand():
+    ring = np.roll(np.eye(4, dtype=bool), 1, axis=1)
+    assert embedding.measures(ring) == (3.0, 2.0, 12.0, 0.0)
+    assert embedding.measures(np.zeros((3, 3), bool)) == (0.0, 0.0, 0.0, 0.0)
+
+
+def enrich_input(spark, flip):
+    rows = []
+    for i in range(120):
+        rows.append((i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=10 * i), 1.0 + i % 5, int(i % 17 < 3), [float(i % 7), float(i % 4) + (i == flip)]))
+    return spark.createDataFrame(rows, "row_id long, ts timestamp_ntz, amount double, label int, v array<double>")
+
+
+def test_out_of_fold_rows_do_not_reach_their_own_model(spark):
+    def run(flip):
+        return {r.row_id: (r.fold, r.fused) for r in embedding.oof_enrich(enrich_input(spark, flip), "v", size=1000, folds=3, frequency=1.2, epochs=5).collect()}
+
+    a, b = run(-1), run(60)
+    assert len(a) == 120 and any(any(v) for _, v in a.values())
+    fold = a[60][0]
+    assert all(np.allclose(a[i][1], b[i][1]) for i in a if a[i][0] == fold and i != 60)
+    assert any(not np.allclose(a[i][1], b[i][1]) for i in a if a[i][0] != fold)
+
+
+def test_one_class_gives_a_constant(spark):
+    one = spark.createDataFrame([(1, [1.0], 1, 1.0)], "row_id long, features array<double>, target int, weight double")
+    assert estimation.fit_detector(one) == 1.0
+    assert estimation.fraud_scores(one, 1.0).first().score == 1.0
+    none = embedding.oof_enrich(enrich_input(spark, -1).where("label = 0"), "v", folds=3).collect()
+    assert none and not any(any(r.fused) for r in none)
