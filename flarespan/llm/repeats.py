@@ -9,8 +9,12 @@ GRAM bytes; body: fingerprint of all bytes of the run).
 * Batches of texts come in one after the other.  Each gets its sorted array, is merge-scanned
   against the existing levels for entries that share head and gram, and becomes a level of its own;
   levels of equal size merge, so each entry is rewritten a logarithmic number of times.
-* A run whose body occurs twice is repeated in whole.  Other runs that share a suffix are compared
-  string by string, by fingerprints of all LENGTH bytes under the same gram (128 bits in all).
+* A run whose body occurs twice is repeated in whole.  Other runs that share a suffix are cut into
+  blocks of WIDTH strings by the anchor's place in the string, so equal strings lie in equal
+  blocks.  ``core`` is the fingerprint of the bytes that all strings of a block have in common,
+  ``all`` that of every byte: a core that occurs once has no repeated string, an ``all`` that
+  occurs twice under its core is repeated in whole, and only what is left is compared string by
+  string, under its core (128 bits in all).
 * The bytes covered by repeated strings are removed in one pass over the texts.
 
 Results depend on the text alone, so texts are known by a 128-bit key and copies need no ids.  Null
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, mix, slices, stored
 
-LENGTH, GRAM, BATCHES = 400, 200, 4
+LENGTH, GRAM, BATCHES, WIDTH = 400, 200, 4, 16
 SPAN = LENGTH - GRAM + 1
 ENTRY = ("head", "gram", "body")
 
@@ -88,7 +92,7 @@ def text_key(data: bytes) -> tuple[int, int]:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """k1, k2 (text key), head, gram, body, first, last of every run of every text."""
+    """k1, k2 (text key), head, gram, body, first, last, anchor of every run of every text."""
 
     def make():
         roll = Rolling()
@@ -106,13 +110,13 @@ def entries(docs: DataFrame) -> DataFrame:
                 for k in range(7):
                     heads = heads << 8 | data[at + k]
                 k1, k2 = text_key(x)
-                for c, v in zip(out, (np.full(n, i), np.full(n, k1), np.full(n, k2), heads, roll.prints(sums, at, at + GRAM).view(np.int64), body.view(np.int64), first, last), strict=True):
+                for c, v in zip(out, (np.full(n, i), np.full(n, k1), np.full(n, k2), heads, roll.prints(sums, at, at + GRAM).view(np.int64), body.view(np.int64), first, last, at), strict=True):
                     out[c].append(v)
             return {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
 
         return run
 
-    kinds = {"k1": "long", "k2": "long", "head": "long", "gram": "long", "body": "long", "first": "int", "last": "int"}
+    kinds = {"k1": "long", "k2": "long", "head": "long", "gram": "long", "body": "long", "first": "int", "last": "int", "anchor": "int"}
     make.factory = True
     return map_texts(docs.select("text"), make, kinds, ())
 
@@ -167,26 +171,64 @@ def keyed(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), run, {"raw": "binary", "k1": "long", "k2": "long"})
 
 
-def strings(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """list_id, gram, string (fingerprint), at: every LENGTH-byte string of the listed runs."""
-    rows = keyed(docs).join(lists, ["k1", "k2"]).select("list_id", "raw", "listed.first", "listed.last", "listed.gram")
+def fingerprints(docs: DataFrame, lists: DataFrame, make, ddl: str) -> DataFrame:
+    """Rows that ``make(sums, roll, *arrays of the listed structs)`` gives for each text, under its list_id."""
+    fields = [f.name for f in lists.schema["listed"].dataType.elementType]
+    rows = keyed(docs).join(lists, ["k1", "k2"]).select("list_id", "raw", *(F.col(f"listed.{c}").alias(c) for c in fields))
+    names = ["list_id", *(c.split()[0] for c in ddl.split(", "))]
 
     def task(batches):
         roll = Rolling()
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                cols = [[] for _ in range(4)]
-                for r in batch.slice(lo, hi - lo).to_pylist():
-                    sums = roll.sums(np.frombuffer(r["raw"], np.uint8))
-                    sizes = np.array(r["last"]) - np.array(r["first"]) + 1
-                    at = np.concatenate([np.arange(a, b + 1) for a, b in zip(r["first"], r["last"], strict=True)])
-                    whole = roll.prints(sums, at, at + LENGTH).view(np.int64)
-                    for c, v in zip(cols, (np.full(len(at), r["list_id"]), np.repeat(np.array(r["gram"]), sizes), whole, at.astype(np.int32)), strict=True):
+                cols = [[] for _ in names]
+                for i in range(lo, hi):
+                    sums = roll.sums(np.frombuffer(batch.column(1)[i].as_py(), np.uint8))
+                    got = make(sums, roll, *(batch.column(2 + k)[i].values.to_numpy().astype(np.int64) for k in range(len(fields))))
+                    for c, v in zip(cols, (np.full(len(got[0]), batch.column(0)[i].as_py()), *got), strict=True):
                         c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["list_id", "gram", "string", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
-    return rows.mapInArrow(task, "list_id bigint, gram bigint, string bigint, at int")
+    return rows.mapInArrow(task, f"list_id bigint, {ddl}")
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. of each row, one after the other."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def blocks_of(sums, roll, first, last, anchor):
+    """core, all, lo, hi (first and last start) of the blocks of each run."""
+    low, high = (anchor - last) // WIDTH, (anchor - first) // WIDTH
+    sizes = high - low + 1
+    block, at, f, t = ranges(low, sizes), *(np.repeat(x, sizes) for x in (anchor, first, last))
+    lo, hi = np.maximum(f, at - block * WIDTH - WIDTH + 1), np.minimum(t, at - block * WIDTH)
+    core = mix(roll.prints(sums, at - block * WIDTH, at + LENGTH - block * WIDTH - WIDTH + 1) ^ roll.prints(sums, at, at + GRAM) ^ block.astype(np.uint64))
+    whole = mix(roll.prints(sums, lo, hi + LENGTH) ^ (at - lo).astype(np.uint64) ^ (hi - lo).astype(np.uint64) << np.uint64(20))
+    return core.view(np.int64), whole.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)
+
+
+def strings_of(sums, roll, core, lo, hi):
+    """core, string (fingerprint), at of every string of the listed blocks."""
+    sizes = hi - lo + 1
+    at = ranges(lo, sizes)
+    return np.repeat(core, sizes), roll.prints(sums, at, at + LENGTH).view(np.int64), at.astype(np.int32)
+
+
+def repeated(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """k1, k2, spans of the repeated strings of runs that share a suffix; ``each`` has one place of each different run."""
+    lists = each.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("listed"))
+    lists = stored(lists.withColumn("list_id", F.monotonically_increasing_id()), "lists")
+    blocks = stored(fingerprints(docs, lists, blocks_of, "core bigint, all bigint, lo int, hi int"), "blocks")
+    kinds = stored(blocks.groupBy("core", "all").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("list_id", "lo", "hi")).alias("place")), "kinds")
+    whole = blocks.join(kinds.where("n > 1").select("core", "all"), ["core", "all"], "left_semi").select("list_id", "lo", "hi")
+    open_cores = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+    left = kinds.join(open_cores, "core", "left_semi").select("core", "place.*").groupBy("list_id").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("listed"))
+    every = stored(fingerprints(docs, left.join(lists.select("list_id", "k1", "k2"), "list_id"), strings_of, "core bigint, string bigint, at int"), "strings")
+    twice = every.groupBy("core", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "string")
+    single = every.join(twice, ["core", "string"], "left_semi").select("list_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    spans = whole.unionByName(single).groupBy("list_id").agg(F.collect_list(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"))).alias("spans"))
+    return spans.join(lists.select("list_id", "k1", "k2"), "list_id").select("k1", "k2", "spans")
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -199,16 +241,9 @@ def covered(docs: DataFrame) -> DataFrame:
     flags = family.whole().join(near, ["head", "gram"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("n > 1 OR mixed")
     rows = stored(found.join(flags, list(ENTRY)), "runs")
 
-    # one place of each different run that shares its suffix with another
-    places = [F.first(c).alias(c) for c in ("k1", "k2", "first", "last")]
-    many = rows.where("mixed AND n > 1").groupBy(*ENTRY).agg(*places)
-    each = rows.where("mixed AND n = 1").select("k1", "k2", "gram", "first", "last").unionByName(many.select("k1", "k2", "gram", "first", "last"))
-    lists = each.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "gram")).alias("listed"))
-    lists = stored(lists.withColumn("list_id", F.monotonically_increasing_id()), "lists")
-    every = stored(strings(docs, lists), "strings")
-    twice = every.groupBy("gram", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "string")
-    single = every.join(twice, ["gram", "string"], "left_semi").groupBy("list_id").agg(F.collect_list("at").alias("at"))
-    single = single.join(lists.select("list_id", "k1", "k2"), "list_id").select("k1", "k2", F.transform("at", lambda x: F.struct(x.alias("first"), x.alias("last"))).alias("spans"))
+    places = ["k1", "k2", "first", "last", "anchor"]
+    many = rows.where("mixed AND n > 1").groupBy(*ENTRY).agg(F.first(F.struct(*places)).alias("place")).select("place.*")
+    single = repeated(docs, rows.where("mixed AND n = 1").select(*places).unionByName(many))
     whole = rows.where("n > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     return stored(whole.unionByName(single).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
