@@ -9,7 +9,7 @@ from .common import table
 
 
 def op3_suffix_array_dedup(spark, sf_dir):
-    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op4_toxicity(spark, sf_dir):

@@ -15,7 +15,7 @@ GRAM bytes; body: fingerprint of all bytes of the run).
   ``all`` that of every byte: a core that occurs once has no repeated string, an ``all`` that
   occurs twice under its core is repeated in whole, and only what is left is compared string by
   string, under its core (128 bits in all).
-* The bytes covered by repeated strings are removed in one pass over the texts.
+* The bytes covered by repeated strings are removed in one pass over the texts that have any.
 
 Results depend on the text alone, so texts are known by a 128-bit key and copies need no ids.  Null
 and empty texts, and texts shorter than LENGTH, lose nothing.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix, slices, stored
+from .common import forget, map_texts, mix, slices, stored
 
 LENGTH, GRAM, BATCHES, WIDTH = 400, 200, 4, 16
 SPAN = LENGTH - GRAM + 1
@@ -147,7 +147,10 @@ class Family:
             found = found.unionByName(s)
         self.hits.append(stored(found.distinct(), "hits"))
         while size in self.levels:
-            new, size = merged(self.levels.pop(size), new), 2 * size
+            old = self.levels.pop(size)
+            both, size = merged(old, new), 2 * size
+            forget(old, new)
+            new = both
         self.levels[size] = new
 
     def whole(self) -> DataFrame:
@@ -163,18 +166,45 @@ class Family:
         return out.distinct()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, texts: bool) -> DataFrame:
+    """doc_id, k1, k2, n_bytes and SHA-256 of each text, with its bytes (``raw``) if ``texts``."""
+
     def run(raw):
         keys = [text_key(x) for x in raw]
-        return {"raw": raw, "k1": [k[0] for k in keys], "k2": [k[1] for k in keys]}
+        out = {"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n_bytes": [len(x) for x in raw], "sha": [hashlib.sha256(x).hexdigest() for x in raw]}
+        return out | ({"raw": raw} if texts else {})
+
+    return map_texts(docs.select("doc_id", "text"), run, {"k1": "long", "k2": "long", "n_bytes": "long", "sha": "string"} | ({"raw": "binary"} if texts else {}))
 
-    return map_texts(docs.select("doc_id", "text"), run, {"raw": "binary", "k1": "long", "k2": "long"})
 
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """k1, k2, raw of the texts with these keys, once each; a task passes on a copy of a text once."""
+
+    def make():
+        seen = set()
+
+        def run(raw):
+            if len(seen) > 200_000:
+                seen.clear()
+            out = {"k1": [], "k2": [], "raw": [], "_row": []}
+            for i, x in enumerate(raw):
+                if len(x) >= LENGTH and (key := text_key(x)) not in seen:
+                    seen.add(key)
+                    for c, v in zip(out, (*key, x, i), strict=True):
+                        out[c].append(v)
+            return out
 
-def fingerprints(docs: DataFrame, lists: DataFrame, make, ddl: str) -> DataFrame:
+        return run
+
+    make.factory = True
+    found = map_texts(docs.select("text"), make, {"k1": "long", "k2": "long", "raw": "binary"}, ())
+    return stored(found.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "texts")
+
+
+def fingerprints(texts: DataFrame, lists: DataFrame, make, ddl: str) -> DataFrame:
     """Rows that ``make(sums, roll, *arrays of the listed structs)`` gives for each text, under its list_id."""
     fields = [f.name for f in lists.schema["listed"].dataType.elementType]
-    rows = keyed(docs).join(lists, ["k1", "k2"]).select("list_id", "raw", *(F.col(f"listed.{c}").alias(c) for c in fields))
+    rows = texts.join(lists, ["k1", "k2"]).select("list_id", "raw", *(F.col(f"listed.{c}").alias(c) for c in fields))
     names = ["list_id", *(c.split()[0] for c in ddl.split(", "))]
 
     def task(batches):
@@ -215,64 +245,67 @@ def strings_of(sums, roll, core, lo, hi):
     return np.repeat(core, sizes), roll.prints(sums, at, at + LENGTH).view(np.int64), at.astype(np.int32)
 
 
-def repeated(docs: DataFrame, each: DataFrame) -> DataFrame:
+def repeated(texts: DataFrame, each: DataFrame) -> DataFrame:
     """k1, k2, spans of the repeated strings of runs that share a suffix; ``each`` has one place of each different run."""
     lists = each.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("listed"))
     lists = stored(lists.withColumn("list_id", F.monotonically_increasing_id()), "lists")
-    blocks = stored(fingerprints(docs, lists, blocks_of, "core bigint, all bigint, lo int, hi int"), "blocks")
+    blocks = stored(fingerprints(texts, lists, blocks_of, "core bigint, all bigint, lo int, hi int"), "blocks")
     kinds = stored(blocks.groupBy("core", "all").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("list_id", "lo", "hi")).alias("place")), "kinds")
     whole = blocks.join(kinds.where("n > 1").select("core", "all"), ["core", "all"], "left_semi").select("list_id", "lo", "hi")
     open_cores = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
     left = kinds.join(open_cores, "core", "left_semi").select("core", "place.*").groupBy("list_id").agg(F.collect_list(F.struct("core", "lo", "hi")).alias("listed"))
-    every = stored(fingerprints(docs, left.join(lists.select("list_id", "k1", "k2"), "list_id"), strings_of, "core bigint, string bigint, at int"), "strings")
+    every = stored(fingerprints(texts, left.join(lists.select("list_id", "k1", "k2"), "list_id"), strings_of, "core bigint, string bigint, at int"), "strings")
     twice = every.groupBy("core", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "string")
     single = every.join(twice, ["core", "string"], "left_semi").select("list_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
     spans = whole.unionByName(single).groupBy("list_id").agg(F.collect_list(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"))).alias("spans"))
     return spans.join(lists.select("list_id", "k1", "k2"), "list_id").select("k1", "k2", "spans")
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """k1, k2, spans: list of (first, last) starts of repeated strings, for the texts that have any."""
+def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """k1, k2, spans: list of (first, last) starts of repeated strings, for the texts that have any; and those texts."""
     found = stored(entries(docs), "entries")
     family = Family()
     for k in range(BATCHES):
         family.add(found.where(F.pmod(F.xxhash64("k1"), F.lit(BATCHES)) == k))
-    near = family.shared().withColumn("mixed", F.lit(True))
-    flags = family.whole().join(near, ["head", "gram"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("n > 1 OR mixed")
+    index, near = family.whole(), family.shared().withColumn("mixed", F.lit(True))
+    flags = index.join(near, ["head", "gram"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("n > 1 OR mixed")
     rows = stored(found.join(flags, list(ENTRY)), "runs")
+    forget(found, index, *family.hits)
+    texts = texts_of(docs, rows.select("k1", "k2").distinct())
 
     places = ["k1", "k2", "first", "last", "anchor"]
     many = rows.where("mixed AND n > 1").groupBy(*ENTRY).agg(F.first(F.struct(*places)).alias("place")).select("place.*")
-    single = repeated(docs, rows.where("mixed AND n = 1").select(*places).unionByName(many))
+    single = repeated(texts, rows.where("mixed AND n = 1").select(*places).unionByName(many))
     whole = rows.where("n > 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return stored(whole.unionByName(single).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    return stored(whole.unionByName(single).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans"), texts
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of each input row."""
-    rows = keyed(docs).join(covered(docs), ["k1", "k2"], "left").select("doc_id", "raw", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
+def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each input row, and ``kept`` (the remaining bytes) if ``texts``."""
+    spans, found = covered(docs)
+    rows = found.join(spans, ["k1", "k2"]).select("k1", "k2", "raw", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
+    names = ["k1", "k2", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
 
     def task(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
-                size, gone, spans, sha, kept = [], [], [], [], []
-                for x, first, last in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                gone, spans, sha, kept = [], [], [], []
+                for i in range(hi - lo):
+                    x = part.column(2)[i].as_py()
                     edge = np.zeros(len(x) + 1, np.int32)
-                    if first:
-                        np.add.at(edge, np.array(first), 1)
-                        np.add.at(edge, np.array(last) + LENGTH, -1)
+                    np.add.at(edge, part.column(3)[i].values.to_numpy(), 1)
+                    np.add.at(edge, part.column(4)[i].values.to_numpy() + LENGTH, -1)
                     out = np.cumsum(edge[:-1]) > 0
-                    rest = np.frombuffer(x, np.uint8)[~out].tobytes() if first else x
-                    size.append(len(x))
+                    rest = np.frombuffer(x, np.uint8)[~out].tobytes()
                     gone.append(int(out.sum()))
-                    spans.append(int(np.count_nonzero(out[1:] & ~out[:-1]) + (1 if len(out) and out[0] else 0)))
+                    spans.append(int(np.count_nonzero(out[1:] & ~out[:-1]) + out[0]))
                     sha.append(hashlib.sha256(rest).hexdigest())
                     kept.append(rest)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-                )
+                more = [pa.array(kept, pa.binary())] if texts else []
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *more], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(task, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    cut = stored(rows.mapInArrow(task, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * texts), "cut")
+    zero, more = F.lit(0).cast("long"), [F.coalesce("kept", "raw").alias("kept")] if texts else []
+    both = keyed(docs, texts).join(cut, ["k1", "k2"], "left")
+    return both.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *more)
