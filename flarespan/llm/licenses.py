@@ -8,8 +8,11 @@ bands.  A notice of a single shingle shares half of its window and is missed wit
 short notices; what is retrieved is verified on exact shingles of the whole text: the share of the
 template's shingles that the text holds.
 
-Null and empty texts, and texts of fewer than five words, hold no template.  Repeated rows give one
-finding for each doc_id; rows with a null doc_id are searched like any other, as one document.
+A template of fewer than five words is one shingle of all its words.  It is looked for in the whole
+text directly, without bands, so it is never missed.  A template without words is an error.
+
+Null and empty texts hold no template.  Repeated rows give one finding for each doc_id; rows with a
+null doc_id are searched like any other, as one document.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ SHINGLE, STRIDE, MINIMA = 5, 2, 18
 CONTAINED = 0.8
 SPLIT = r"[^\p{L}\p{N}]+"
 
-#: Notices that are searched for.  The shortest, of five words, is one shingle.
+#: Notices that are searched for.
 TEMPLATES = {
+    "rights-line": "All rights reserved.",
     "mit-line": "Released under the MIT License.",
     "apache-line": "Licensed under the Apache License, Version 2.0.",
     "gpl3-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -31,6 +35,14 @@ TEMPLATES = {
     "apache-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense-notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file",
 }
 
@@ -66,12 +78,32 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.withColumn("_words", words(F.col("body")))
 
 
+def short_findings(docs: DataFrame, short: list[tuple[str, list[str]]]) -> DataFrame:
+    """doc_id, template, for templates of fewer words than a shingle; a row for each finding.
+
+    A text is cut into words only where all words of some template are in it as strings.
+    """
+    lower = F.lower(F.col("text"))
+    likely = F.lit(False)
+    for _, w in short:
+        all_in = F.lit(True)
+        for x in w:
+            all_in = all_in & F.contains(lower, F.lit(x))
+        likely = likely | all_in
+    spaced = docs.where(likely).select("doc_id", F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("_spaced"))
+    names = F.array(*[F.when(F.contains(F.col("_spaced"), F.lit(f" {' '.join(w)} ")), F.lit(t)) for t, w in short])
+    return spaced.select("doc_id", F.explode(F.array_compact(names)).alias("template")).distinct()
+
+
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
     """doc_id, template, n_found, n_shingles (of the template), containment; a row for each finding.
 
     The template tables that are broadcast are as large as the given library, not as the data.
     """
     known = template_table(docs.sparkSession, templates or TEMPLATES)
+    sizes = {r["template"]: r["_words"] for r in known.select("template", "_words").collect()}
+    if empty := sorted(t for t, w in sizes.items() if not w):
+        raise ValueError(f"templates without words: {', '.join(empty)}")
     bands = F.broadcast(banded(known, "template", 1).distinct())
     texts = docs.select("doc_id", words(F.col("text")).alias("_words"))
     candidates = banded(texts, "doc_id", STRIDE).join(bands, "low").select("doc_id", "template").distinct()
@@ -85,7 +117,12 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, contained
     counts = counts.where(F.col("n_found") >= contained * F.col("n_shingles"))
     pair = candidates.withColumnsRenamed({"doc_id": "_id", "template": "_template"})
     both = counts.join(pair, counts["doc_id"].eqNullSafe(pair["_id"]) & (counts["template"] == pair["_template"]), "left_semi")
-    return both.select("doc_id", "template", "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+    found = both.select("doc_id", "template", "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+    short = sorted((t, w) for t, w in sizes.items() if len(w) < SHINGLE)
+    if not short:
+        return found
+    one = F.lit(1).cast("long")
+    return found.unionByName(short_findings(docs, short).select("doc_id", "template", one.alias("n_found"), one.alias("n_shingles"), F.lit(1.0).alias("containment")))
 
 
 def sql(templates: dict[str, str] | None = None, contained: float = CONTAINED) -> str:

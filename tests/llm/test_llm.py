@@ -61,6 +61,15 @@ def test_equals_sql(spark, n, fn):
     assert sorted(map(tuple, a[keys].astype(str).to_numpy().tolist())) == sorted(map(tuple, b[keys].astype(str).to_numpy().tolist()))
 
 
+def test_short_license_lines_are_found(spark):
+    texts = ["x. All rights\n reserved. y", "ALL RIGHTS RESERVED", "overall rights reserved", "all the rights reserved", None, ""]
+    d = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    found = [(r.doc_id, r.template, r.n_found, r.n_shingles, r.containment) for r in licenses.licenses(d).collect()]
+    assert sorted(found, key=str) == [(i, "rights-line", 1, 1, 1.0) for i in (0, 1, None)]
+    with pytest.raises(ValueError):
+        licenses.licenses(d, {"none": "..."})
+
+
 def test_repeats_equal_brute_force(docs):
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = collections.Counter(x[p : p + 400] for _, x in texts for p in range(len(x) - 399))
