@@ -109,7 +109,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows (same doc_id and text), one."""
-    kept = exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"])).withColumn("_text", F.when(F.col("_rows") > 1, F.xxhash64("text")))
-    nth = F.row_number().over(Window.partitionBy("_keep", "_text").orderBy("_keep"))
-    return left.withColumn("_nth", nth).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    left = docs.withColumn("_digest", sha)
+    left = left.join(kept, left["doc_id"].eqNullSafe(kept["_keep"]) & (left["_digest"] == kept["_sha"]))
+    nth = F.row_number().over(Window.partitionBy("_keep", "_sha").orderBy("_keep"))
+    return left.withColumn("_nth", nth).where("_nth = 1").select(*[left[c] for c in docs.columns])

@@ -106,6 +106,17 @@ def brute_near(rows):
     return {i: find(i) for i in ids}
 
 
+def test_exact_dedup_keeps_every_text_once_where_ids_repeat(spark):
+    for ids in ((None, None), (5, 5)):
+        rows = [(ids[0], "A", 1), (ids[1], "B", 2), (9, "A", 3), (9, "A", 4), (5, None, 5), (None, "", 6), (7, "C", 7), (7, "D", 8)]
+        for order in (rows, rows[::-1]):
+            d = spark.createDataFrame(order, "doc_id long, text string, n int")
+            got = exact_dedup.drop_exact_copies(d)
+            assert got.columns == d.columns
+            kept = sorted((r.doc_id or -1, r.text or "") for r in got.collect())
+            assert kept == sorted([(ids[0] or -1, "B"), (9, "A"), (5, ""), (7, "C"), (7, "D")])
+
+
 def test_near_groups_equal_brute_force(docs):
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, 3, 85).collect()}
     assert got == brute_near([(r.doc_id, r.text) for r in docs.collect()])
