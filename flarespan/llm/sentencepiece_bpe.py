@@ -48,15 +48,15 @@ def read_model(path: str) -> dict:
 
 
 class Segments(dict):
-    """Segment to number of ids, ids joined by commas, and decoded text.  Forgets everything when full."""
+    """Segment to number of ids, ids joined by commas, and bytes decoded from the ids.  Forgets everything when full."""
 
     def __init__(self, encoder: "Encoder") -> None:
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.decoder = encoder, Decoder(encoder.model)
 
-    def __missing__(self, text: str) -> tuple[int, str, str]:
+    def __missing__(self, text: str) -> tuple[int, str, bytes]:
         ids = self.encoder.ids(text)
-        found = (len(ids), ",".join(map(str, ids)), text.replace(SPACE, " "))
+        found = (len(ids), ",".join(map(str, ids)), self.decoder.raw(ids))
         if len(text) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -66,7 +66,7 @@ class Segments(dict):
 
 class Encoder:
     def __init__(self, model: dict) -> None:
-        self.pieces, self.byte_ids = model["pieces"], model["bytes"]
+        self.model, self.pieces, self.byte_ids = model, model["pieces"], model["bytes"]
         self.pairs: dict = {}
         self.segments = Segments(self)
         order = {score: k for k, score in enumerate(sorted({score for _, score in self.pieces.values()}, reverse=True))}
@@ -183,6 +183,11 @@ class Decoder:
     def __init__(self, model: dict) -> None:
         self.text = {i: p.replace(SPACE, " ") for p, (i, _) in model["pieces"].items()}
         self.byte = {i: b for b, i in model["bytes"].items()}
+        self.raws = {i: t.encode("utf-8") for i, t in self.text.items()} | {i: bytes([b]) for i, b in self.byte.items()}
+
+    def raw(self, ids: list[int]) -> bytes:
+        """The bytes of the ids, the leading space kept: those of adjacent segments join to those of the whole."""
+        return b"".join([self.raws[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -257,6 +262,7 @@ def _digests(model, raw):
         parts = list(map(encoder.segments.__getitem__, encoder.cut_up(x.decode("utf-8", "replace"))))
         n_tokens.append(sum(p[0] for p in parts))
         ids_sha.append(hashlib.sha256(",".join(p[1] for p in parts).encode()).hexdigest())
-        text = "".join(p[2] for p in parts)
-        decoded_sha.append(hashlib.sha256(text[1:].encode("utf-8", "replace")).hexdigest())
+        data = b"".join([p[2] for p in parts]).removeprefix(b" ")
+        # runs of bytes are joined across segments; pieces are whole characters, so damage stays inside a run
+        decoded_sha.append(hashlib.sha256(data.decode("utf-8", "replace").encode("utf-8")).hexdigest())
     return {"n_tokens": n_tokens, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}

@@ -148,6 +148,21 @@ def test_encoding_equals_library():
         assert mine.encode(t) == ids and back.decode(ids) == lib.decode(ids)
 
 
+def test_digests_are_of_the_text_decoded_from_the_ids(monkeypatch):
+    model, lib = sentencepiece_bpe.read_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aabcdeeilnorstt  \n\t,.▁éñ中🙂🜁<0x>AB12\0", k=rng.randint(0, 50))) for _ in range(300)]
+    texts += ["", "  ", "🜁🜂 🜃", "<0x0A>"]
+    got = sentencepiece_bpe._digests(model, [t.encode() for t in texts])
+    for t, ids, text in zip(texts, got["ids_sha256"], got["decoded_sha256"], strict=True):
+        assert ids == hashlib.sha256(",".join(map(str, lib.encode(t))).encode()).hexdigest()
+        assert text == hashlib.sha256(lib.decode(lib.encode(t)).encode()).hexdigest()
+    # ids that were lost or changed show in the digest
+    monkeypatch.setattr(sentencepiece_bpe, "_encoders", [])
+    monkeypatch.setattr(sentencepiece_bpe.Encoder, "ids", lambda self, text, whole=sentencepiece_bpe.Encoder.ids: whole(self, text)[:-1])
+    assert sentencepiece_bpe._digests(model, [b"hello world"])["decoded_sha256"] != [hashlib.sha256(b"hello world").hexdigest()]
+
+
 def test_png_round_trip_and_damage():
     rng = np.random.default_rng(0)
     for n in (0, 1, 63, 64, 65, 5000):
