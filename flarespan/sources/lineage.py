@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """``df.checkpoint()`` in spark.checkpoint.dir.  Where that is unset, a local session takes a folder of its own; a cluster has none to take."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flarespan-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(found)
     return df.checkpoint()
