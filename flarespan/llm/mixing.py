@@ -12,6 +12,7 @@ rows of one leaf are never sorted in one task; only the slice where the budget e
 
 Null levels are a node of their own, the empty name; null texts have no tokens; null ids share one
 place in the order.  A negative weight counts as 0; nodes without a weight have ``default_weight``.
+A node of weight 0 gets nothing, and its tokens do not count for what its parents can take.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored, unused
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,21 +36,20 @@ def counted(docs: DataFrame, domain: Column, extra: tuple[str, ...] = ()) -> Dat
     )
 
 
-def weighted(nodes: DataFrame, level: str, weights: dict[str, int], default: int) -> DataFrame:
-    known = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
-    w = F.coalesce(known[F.col(level)], F.lit(default)) if weights else F.lit(default)
-    return nodes.withColumn("w", F.greatest(w, F.lit(0)).cast("long"))
+def weight_of(level: str, weights: dict[str, int], default: int) -> Column:
+    known = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(level)], F.lit(default)) if weights else F.lit(default)
+    return F.greatest(known, F.lit(0)).cast("long")
 
 
 def split_budget(children: DataFrame, parent: list[str], level: str) -> DataFrame:
-    """Children (parent levels, level, w, cap, budget of the parent) with their own ``share`` of it.
+    """Children (parent levels, level, w, cap, budget of the parent), w above 0, with their own ``share`` of it.
 
     In the order of cap / w a child is full exactly while its cap is at most its part of what is
-    left; all after it share the rest by weight, rounded down.  Weight 0 gets nothing.
+    left; all after it share the rest by weight, rounded down.
     """
     keys = parent or [F.lit(0)]
     order = Window.partitionBy(*keys).orderBy(F.expr("cap / w"), level)
-    rows = children.where("w > 0").withColumns({
+    rows = children.withColumns({
         "taken": F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "w_left": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)),
     }).withColumn("full", F.expr("cap * w_left <= (budget - taken) * w"))
@@ -63,17 +63,25 @@ def split_budget(children: DataFrame, parent: list[str], level: str) -> DataFram
 
 
 def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]], default_weight: int, max_epochs: int) -> DataFrame:
-    """Leaves (levels, tokens) with ``budget``.  The number of rows is that of the tree's nodes."""
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens")).select(F.least(budget.cast("long"), F.col("all_tokens") * max_epochs).alias("budget"))
+    """Leaves (levels, tokens) with ``budget``; leaves below a node of weight 0 get 0.  The number of rows is that of the tree's nodes.
+
+    ``budget`` may use all_tokens, the tokens of all leaves.
+    """
+    each = leaves.withColumns({f"w_{c}": weight_of(c, weights.get(c, {}), default_weight) for c in LEVELS})
+    total = each.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
     nodes, parent = None, []
+    open_leaves = each.where(" AND ".join(f"w_{c} > 0" for c in LEVELS))
     for level in LEVELS:
         path = [*parent, level]
-        caps = leaves.groupBy(*path).agg((F.sum("tokens") * max_epochs).alias("cap"))
-        caps = weighted(caps, level, weights.get(level, {}), default_weight)
-        above = caps.crossJoin(F.broadcast(total)) if nodes is None else caps.join(nodes, parent)  # one row
+        caps = open_leaves.groupBy(*path).agg((F.sum("tokens") * max_epochs).alias("cap"), F.max(f"w_{level}").alias("w"))
+        if nodes is None:
+            room = caps.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("room")).crossJoin(total).select(F.least(budget.cast("long"), F.col("room")).alias("budget"))
+            above = caps.crossJoin(F.broadcast(room))  # one row
+        else:
+            above = caps.join(nodes, parent)
         nodes = split_budget(above, parent, level).select(*path, F.col("share").alias("budget"))
         parent = path
-    return leaves.join(nodes, list(LEVELS))
+    return leaves.join(nodes, list(LEVELS), "left").na.fill(0, ["budget"])
 
 
 def in_order(seed: int, epoch: Column) -> Column:
@@ -118,13 +126,15 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The chosen rows of ``docs`` with all their columns, as often as they are taken.
+    """The chosen rows of ``docs`` with all their columns, whatever their names, as often as they are taken.
 
-    A row is known by its doc_id; repeated rows of a doc_id are each taken as often as the first.
+    A row is known by its doc_id and its tokens; rows alike in both are each taken as often as the first.
     """
-    copies = mix_documents(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    key, tokens, copies, nth = unused(docs, "_id", "_tokens", "_copies", "_nth")
+    known, words = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    taken = mix_documents(docs).groupBy(known.alias(key), F.col("n_tokens").alias(tokens)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    out = docs.withColumns({key: known, tokens: words}).join(sized(stored(taken, "taken")), [key, tokens])
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 SQL = r"""
