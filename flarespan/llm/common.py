@@ -8,6 +8,7 @@ each treated as a document of its own.
 from __future__ import annotations
 
 import hashlib
+import re
 import string
 import tempfile
 import uuid
@@ -17,11 +18,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time; a longer single text is one slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, where the session keeps Spark's own default.
+BATCH_BYTES, ARROW_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _ARROW = {
     "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
@@ -34,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset, a local session takes one of its own; a cluster has none to take."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="flarespan-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -58,6 +63,28 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: A table is broadcast only if it was counted and has at most so many slim rows; a larger one is shuffled.
+MOST_BROADCAST = 200_000
+#: Keys with the most rows that are joined by broadcast, so that no task gets all rows of one.
+HOT = 1_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Mark for broadcast what is small enough, by counting; give it a stored table."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join with a ``table`` of one row for each ``key``; give it stored tables.
+
+    The HOT keys with the largest ``weight`` (their number of rows) are broadcast, a bounded table;
+    all other keys are joined by shuffle.
+    """
+    hot = stored(table.orderBy(F.desc(weight), key).limit(HOT), "hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def slices(raw: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of a binary column of about SLICE_BYTES each."""
     n = len(raw)
@@ -72,6 +99,23 @@ def slices(raw: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the size of Arrow batches to BATCH_BYTES unless the session has set its own."""
+    if spark.conf.get(ARROW_BYTES) == f"{64 << 20}b":
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names with as many underscores before them as it takes to clash with no column of ``df`` (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_texts(df: DataFrame, fn: Callable, out: dict[str, str], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Apply ``fn(list of bytes) -> dict of columns`` slice by slice; the ``keep`` columns ride along.
 
@@ -95,7 +139,10 @@ def map_texts(df: DataFrame, fn: Callable, out: dict[str, str], keep: tuple[str,
                     rows = pa.array(got["_row"], pa.int64())
                     kept = [k.take(rows) for k in kept]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[c], t) for c, t in zip(out, arrow, strict=True))], names)
+            del batch, raw
+            pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_raw"))
     return source.mapInArrow(task, ddl)
 
@@ -117,7 +164,7 @@ class WordTable(dict):
     Between documents it forgets everything once it has ``most`` words, so memory stays bounded.
     """
 
-    def __init__(self, forms: Callable, width: int, most: int = 300_000) -> None:
+    def __init__(self, forms: Callable, width: int, most: int = 150_000) -> None:
         super().__init__()
         self.forms, self.most = forms, most
         self.rows = np.zeros((4096, width), np.uint64)
@@ -167,7 +214,7 @@ def ngrams(h: np.ndarray, *offsets: int) -> np.ndarray:
 
 
 def bounded_labelled(docs: DataFrame, labels: DataFrame, rating, most: int, where=None) -> DataFrame:
-    """At most ``most`` labelled documents with their rating, chosen by a hash of doc_id.
+    """Rows of at most ``most`` labelled doc_ids with their rating, chosen by a hash of doc_id.
 
     Labels are bounded before the join, so the broadcast side has at most ``most`` rows.  Labels
     that are null, and repeated labels of a doc_id beyond the smallest, are left out.
@@ -178,3 +225,23 @@ def bounded_labelled(docs: DataFrame, labels: DataFrame, rating, most: int, wher
     few = few.select("doc_id", rating.alias("_rating")).where("_rating IS NOT NULL").groupBy("doc_id").agg(F.min("_rating").alias("_rating"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+
+
+def bounded_features(rows: DataFrame, places: str, most: int) -> DataFrame:
+    """One row of each doc_id, and of these, in the order of a hash of doc_id, as many as have ``most`` places in all.
+
+    Of several texts of a doc_id the one with the smallest hash of its places is taken.  ``rows`` has
+    a bounded number of doc_ids, so the one window sees few rows, and of these only ids and sizes.
+    """
+    rest = [c for c in rows.columns if c != "doc_id"]
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(places)).alias("_one")).select("doc_id", "_one.*")
+    one = stored(one, "labelled")
+    upto = F.sum(F.size(places)).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = one.select("doc_id", upto.alias("_upto")).where(F.col("_upto") <= most).select("doc_id")
+    return one.join(F.broadcast(few), "doc_id")
+
+
+def lists_of(column: pa.Array, kind) -> list[np.ndarray]:
+    """Each list of an Arrow list column as a numpy array, without Python numbers between."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False).astype(kind), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import hot_join, map_texts, sized, stored, unused
 
 #: Chunk sizes in bytes: no cut before LEAST, a forced one at MOST; expected size about LEAST + 2 ** BITS.
 LEAST, BITS, MOST = 512, 11, 16_384
@@ -80,9 +80,9 @@ def verified(chunks: DataFrame) -> DataFrame:
     (counted after duplicates are aggregated away); where contents collide, the digest is added.
     """
     contents = chunks.groupBy("chunk_key", "size", "digest").agg(F.count(F.lit(1)).alias("copies")).groupBy("chunk_key").agg(F.count(F.lit(1)).alias("contents"))
-    crowded = contents.where("contents > 1")
+    crowded = stored(contents.where("contents > 1"), "crowded")  # all but empty, so no shuffle by the keys of common chunks
     told = F.when(F.col("contents").isNull(), F.hex("chunk_key")).otherwise(F.concat(F.hex("chunk_key"), F.lit("."), F.hex("digest")))
-    return chunks.join(crowded, "chunk_key", "left").withColumn("chunk_id", told)
+    return chunks.join(sized(crowded), "chunk_key", "left").withColumn("chunk_id", told)
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -101,17 +101,25 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     each = stored(recipes(docs), "recipes")
     stay = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("row_id")).alias("nth"))).alias("stay")
-    groups = each.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), stay)
-    return each.join(groups, "recipe").select(
+    groups = stored(each.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), stay), "groups")
+    return hot_join(each, groups, "recipe", "group_size").select(
         "doc_id", "row_id", F.col("stay.doc_id").alias("keep_id"), "group_size", F.coalesce(F.col("doc_id") == F.col("stay.doc_id"), F.col("row_id") == -F.col("stay.nth")).alias("kept"), "text_sha256", "n_chunks"
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows (same doc_id and text), one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    left = docs.withColumn("_digest", sha)
-    left = left.join(kept, left["doc_id"].eqNullSafe(kept["_keep"]) & (left["_digest"] == kept["_sha"]))
-    nth = F.row_number().over(Window.partitionBy("_keep", "_sha").orderBy("_keep"))
-    return left.withColumn("_nth", nth).where("_nth = 1").select(*[left[c] for c in docs.columns])
+    """The rows that stay, with all their columns, whatever their names; of repeated rows (same doc_id and text), one.
+
+    A row is known by its doc_id and the digest of its text.  Texts are moved only where the rows
+    that go are too many to broadcast.
+    """
+    key, sha, nth = unused(docs, "_id", "_sha", "_nth")
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    groups = exact_groups(docs).select(known.alias(key), F.col("text_sha256").alias(sha), "kept")
+    fate = stored(groups.groupBy(key, sha).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("times")), "fate")
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    rows = docs.withColumns({key: known, sha: digest}).join(sized(fate.where("NOT kept").select(key, sha)), [key, sha], "left_anti")
+    twice = stored(fate.where("times > 1").select(key, sha), "twice")
+    once = rows.join(sized(twice), [key, sha], "left_anti").select(*docs.columns)
+    first = rows.join(sized(twice), [key, sha], "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key, sha).orderBy(F.lit(1)))).where(F.col(nth) == 1)
+    return once.unionByName(first.select(*docs.columns))

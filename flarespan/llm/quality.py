@@ -1,11 +1,14 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade >= k | text) = sigmoid(w.x - t_k) for k = 1 .. K-1 with one weight vector for all grades
-and ordered thresholds t_1 < t_2 < ...  x holds hashed words and hashed shapes of words (letter
-case, digits, punctuation), by share of the text.  The results are the expected grade and the tail
+and ordered thresholds t_1 < t_2 < ...  x holds hashed words, hashed shapes of words (letter
+case, digits, punctuation) and two places for repetition (words equal to the one before, words that
+were there before), by share of the text.  The results are the expected grade and the tail
 probabilities that a selection compares with its limit.
 
-A text without words has x = 0, so its tails come from the thresholds alone.
+A null or empty text, or one without words, has x = 0, so its tails come from the thresholds alone.
+Long texts are read whole.  Equal texts have equal grades; repeated rows are each graded.  Of several
+texts of a rated doc_id one is learnt from.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bare, bounded_labelled, map_texts, place_hash
+from .common import WordTable, bare, bounded_features, bounded_labelled, lists_of, map_texts, place_hash, slices, small_batches
 
 BITS = 18
-#: Documented bound: at most so many rated documents are used to fit.
-MOST_RATED = 10_000
-STEPS, RATE, L2 = 150, 0.3, 1e-5
+#: Documented bounds: at most so many rated documents, and so many places of them in all, are used to fit.
+MOST_RATED, MOST_PLACES = 10_000, 20_000_000
+STEPS, RATE, L2 = 150, 0.3, 1e-4
+#: Places after those of hashes.
+REPETITION, PLACES = np.array([1 << BITS, (1 << BITS) + 1]), (1 << BITS) + 2
+
 
 class Classes(dict):
     """Character to the one that stands for its class: capitals X, other letters x, digits 9, marks themselves."""
@@ -37,7 +43,7 @@ _CLASS_OF, _RUNS = Classes(), re.compile(r"([Xx9])\1+")
 
 def shape(word: str) -> str:
     """Case, digits and marks of a word; the same class in a row counts once, marks stay."""
-    return _RUNS.sub(r"\1", word[:64].translate(_CLASS_OF))
+    return _RUNS.sub(r"\1", word.translate(_CLASS_OF))
 
 
 def word_table() -> WordTable:
@@ -45,15 +51,16 @@ def word_table() -> WordTable:
 
 
 def features(text: bytes, words: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values; words and shapes each by the root of their share."""
+    """Places and values; words, shapes and repetition each by the root of their share."""
     h = words.hashes(text.decode("utf-8", "replace").split())
-    places, counts = np.unique(h.ravel() >> np.uint64(64 - BITS), return_counts=True)
-    return places.astype(np.int64), np.sqrt(counts / max(1, len(h)))
+    places, counts = np.unique(h >> np.uint64(64 - BITS), return_counts=True)
+    again = np.array([(h[1:, 0] == h[:-1, 0]).sum(), len(h) - len(np.unique(h[:, 0]))])
+    return np.r_[places.astype(np.int64), REPETITION], np.sqrt(np.r_[counts, again] / max(1, len(h)))
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by adaptive gradient steps on the mean log loss of all tails."""
-    w, first, gaps = np.zeros(1 << BITS), 0.0, np.zeros(max(0, grades - 2))
+    w, first, gaps = np.zeros(PLACES), 0.0, np.zeros(max(0, grades - 2))
     if not rows:
         return w, np.arange(grades - 1, dtype=float)
     at = np.concatenate([r[0] for r in rows])
@@ -88,19 +95,23 @@ def fit(docs: DataFrame, labels: DataFrame, rating: Column, grades: int, where=N
 
         def run(raw):
             both = [features(x, words) for x in raw]
-            return {"places": [p.tolist() for p, _ in both], "shares": [v.tolist() for _, v in both]}
+            return {"places": [p.astype(np.int32) for p, _ in both], "shares": [v for _, v in both]}
 
         return run
 
     make.factory = True
     rated = map_texts(bounded_labelled(docs, labels, rating, MOST_RATED, where), make, {"places": "array<int>", "shares": "array<double>"}, ("doc_id", "_rating"))
+    rated = bounded_features(rated, "places", MOST_PLACES)
 
     def task(batches):
         import pyarrow as pa
 
-        rows = [r for b in batches for r in b.to_pylist() if 0 <= r["_rating"] < grades]
-        rows.sort(key=lambda r: (r["doc_id"], r["_rating"], r["places"]))
-        w, t = fit_ordinal([(np.array(r["places"], np.int64), np.array(r["shares"]), int(r["_rating"])) for r in rows], grades)
+        rows = []
+        for b in batches:
+            ids, ratings, places, shares = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "_rating", "places", "shares"))
+            rows += zip(ids.to_pylist(), lists_of(places, np.int32), lists_of(shares, float), ratings.to_pylist(), strict=True)
+        rows.sort(key=lambda r: r[0])
+        w, t = fit_ordinal([r[1:] for r in rows if 0 <= r[3] < grades], grades)
         at = np.flatnonzero(np.abs(w) > 1e-4)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1 - np.arange(len(t))]), pa.array(np.r_[w[at], t])], ["place", "weight"])
 
@@ -115,7 +126,7 @@ def graded(docs: DataFrame, model: tuple[list[tuple[int, float]], list[float]])
     kinds = {"expected_grade": "double", "tail_1": "double", **{f"tail_{k}": "double" for k in range(2, len(model[1]) + 1)}}
 
     def make():
-        w, t = np.zeros(1 << BITS, np.float32), np.array(shared.value[1])
+        w, t = np.zeros(PLACES, np.float32), np.array(shared.value[1])
         for place, weight in shared.value[0]:
             w[place] = weight
         words = word_table()
@@ -145,33 +156,31 @@ def quality(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5) -> Data
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` with all their columns whose tail probability is high enough."""
-    model = fit(docs, labels, corpus_rating(), 3)
-    # scored beside the text in one pass: a join would move every text
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    raw = "_text_for_score"
+    """Rows of ``docs`` with all their columns, whatever their names, whose tail probability is high enough.
 
-    def make():
-        w, t = np.zeros(1 << BITS, np.float32), shared.value[1][0]
-        for place, weight in shared.value[0]:
-            w[place] = weight
-        words = word_table()
-
-        def keeps(text):
-            at, v = features(text or b"", words)
-            return 1 / (1 + np.exp(-np.clip(float(w[at] @ v) - t, -35, 35))) >= least_tail
-
-        return keeps
+    Scored beside the text in one pass: a join would move every text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, corpus_rating(), 3))
+    at_text = [c.lower() for c in docs.columns].index("text")
 
     def task(batches):
         import pyarrow as pa
 
-        keeps = make()
+        w, t = np.zeros(PLACES, np.float32), shared.value[1][0]
+        for place, weight in shared.value[0]:
+            w[place] = weight
+        words = word_table()
+        least = t + np.log(least_tail / (1 - least_tail))  # sigmoid(s - t) >= least_tail
         for b in batches:
-            texts = b.column(b.schema.get_field_index(raw)).to_pylist()
-            mask = pa.array([bool(keeps(x)) for x in texts], pa.bool_())
-            kept = b.filter(mask)
-            yield kept.select(range(len(names)))
-
-    return docs.select(*[docs[c] for c in names], docs["text"].cast("binary").alias(raw)).mapInArrow(task, docs.schema)
+            raw = b.column(at_text).cast(pa.binary())
+            for lo, hi in slices(raw):
+                keep = []
+                for x in raw.slice(lo, hi - lo):
+                    at, v = features(x.as_py() or b"", words)
+                    keep.append(float(w[at] @ v) >= least)
+                yield b.slice(lo, hi - lo).filter(pa.array(keep, pa.bool_()))
+            del b, raw
+            pa.default_memory_pool().release_unused()
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(task, docs.schema)

@@ -46,7 +46,7 @@ def op9_sentencepiece(spark, sf_dir):
 
 
 def op10_near_dedup(spark, sf_dir):
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85).drop("md5", "stays")
 
 
 QUERIES = {
