@@ -74,14 +74,15 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """Inner join with a ``table`` of one row for each ``key``; give it stored tables.
 
     The HOT keys with the largest ``weight`` (their number of rows) are broadcast, a bounded table;
     all other keys are joined by shuffle.
     """
-    hot = stored(table.orderBy(F.desc(weight), key).limit(HOT), "hot")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    names = [key] if isinstance(key, str) else key
+    hot = stored(table.orderBy(F.desc(weight), *names).limit(HOT), "hot")
+    rest = rows.join(F.broadcast(hot.select(*names)), key, "left_anti").join(table, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 

@@ -70,18 +70,57 @@ def test_short_license_lines_are_found(spark):
         licenses.licenses(d, {"none": "..."})
 
 
-def test_repeats_equal_brute_force(docs):
-    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    seen = collections.Counter(x[p : p + 400] for _, x in texts for p in range(len(x) - 399))
-    got = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
-    for i, x in texts:
+def covered_by(texts, length, apart):
+    """For each text which symbols lie in strings of ``length`` that start anywhere else (``apart``: in another text)."""
+    seen = collections.defaultdict(set)
+    for i, x in enumerate(texts):
+        for p in range(len(x) - length + 1):
+            seen[x[p : p + length]].add(i if apart else (i, p))
+    out = []
+    for x in texts:
         edge = np.zeros(len(x) + 1, int)
-        for p in range(len(x) - 399):
-            if seen[x[p : p + 400]] > 1:
+        for p in range(len(x) - length + 1):
+            if len(seen[x[p : p + length]]) > 1:
                 edge[p] += 1
-                edge[p + 400] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
-        assert got[i].kept_sha256 == hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest()
+                edge[p + length] -= 1
+        out.append(np.cumsum(edge[:-1]) > 0)
+    return out
+
+
+def check_repeats(rows, got):
+    raw = [(t or "").encode() for _, t in rows]
+    gone, words = covered_by(raw, 400, False), covered_by([tuple(x.split()) for x in raw], 51, True)
+    for (i, _), x, g, w in zip(rows, raw, gone, words, strict=True):
+        kept = np.frombuffer(x, np.uint8)[~g].tobytes()
+        spans = int((np.diff(np.r_[0, g.astype(int)]) == 1).sum())
+        want = (len(x), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), int(w.sum()))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256, got[i].passage_words) == want
+        assert "kept" not in got[i] or bytes(got[i].kept) == kept
+
+
+def test_op3_query_equals_brute_force(spark, docs):
+    from flarespan.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_repeats(rows, {r.doc_id: r for r in queries.op3_suffix_array_dedup(spark, SF).collect()})
+
+
+def test_repeats_in_pieces_batches_and_odd_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 9)))
+    shared = [[word() for _ in range(n)] for n in (51, 70, 140)]
+    rows = [(0, None), (1, ""), (2, "x" * 399), (3, "x" * 401), (4, "ab" * 900)]
+    for i in range(5, 60):
+        parts = [[word() for _ in range(rng.randint(0, 60))]]
+        for s in rng.sample(shared, rng.randint(0, 3)):
+            parts += [s, [word() for _ in range(rng.randint(0, 40))]]
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    rows += [(60, rows[20][1]), (61, rows[20][1])]
+    index = repeats.index
+    monkeypatch.setattr(repeats, "index", lambda d, unit, batches=None: index(d, unit, 6))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.without_repeats(d, True, repeats.Unit(400, 200, 16, 300), repeats.Words(51, 26, 4, 60))
+    check_repeats(rows, {r.doc_id: r for r in got.collect()})
 
 
 def brute_near(rows):
