@@ -1,18 +1,22 @@
 """License scans in DataFrame operations only.
 
-Texts become words.  A window is two consecutive five-word shingles (six words) and one starts
-every two words, so windows overlap and every shingle is in one.  Each window has MINIMA minima,
-each a band of its own, and meets the windows of the templates (taken at every offset) in these
-bands.  A notice of a single shingle shares half of its window and is missed with probability
-2 ** -MINIMA, one of n shingles with about 2 ** (-MINIMA * n / 2).  Bands of one minimum suit such
-short notices; what is retrieved is verified on exact shingles of the whole text: the share of the
-template's shingles that the text holds.
+Texts become words, words five-word shingles.  A window is WINDOW consecutive shingles and one starts
+every STRIDE words, so windows overlap and every shingle is in two.  A window has BANDS bands of two
+minima each.  Templates of at least LONG shingles have windows at every offset, so each window of a
+text that lies inside a copy meets the window at its place.  A copy that holds 0.8 of the template's
+shingles, with its changes spread evenly, leaves windows with a Jaccard similarity of 0.67, which
+collide in a band with probability 1 - (1 - 0.67 ** 2) ** BANDS = 0.97; there are at least two such
+windows, so it is missed with probability 0.001 at most, and of a whole license text (150 shingles,
+over 20 windows) with one below 1e-30.  In a shorter notice a window would hold mostly other text: its windows are
+single shingles, whose minimum is the shingle itself, and it is never missed.  What is retrieved is verified
+on exact shingles of the whole text: the share of the template's shingles that the text holds.
 
 A template of fewer than five words is one shingle of all its words.  It is looked for in the whole
 text directly, without bands, so it is never missed.  A template without words is an error.
 
-Null and empty texts hold no template.  Repeated rows give one finding for each doc_id; rows with a
-null doc_id are searched like any other, as one document.
+Null and empty texts hold no template; long texts are searched whole.  Equal texts have equal
+findings; repeated rows give one finding for each doc_id; rows with a null doc_id are searched like
+any other, as one document.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, STRIDE, MINIMA = 5, 2, 18
+from .common import sized, stored
+
+SHINGLE, WINDOW, STRIDE, BANDS, LONG = 5, 12, 6, 6, 24
 CONTAINED = 0.8
 SPLIT = r"[^\p{L}\p{N}]+"
 
-#: Notices that are searched for.
+#: Notices and license texts that are searched for.
 TEMPLATES = {
     "rights-line": "All rights reserved.",
     "mit-line": "Released under the MIT License.",
@@ -43,6 +49,25 @@ TEMPLATES = {
     "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-line": "Licensed under CC BY 4.0.",
     "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-3-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions
+of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names
+of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS
+AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
+in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software. 3. This notice may not be removed or altered from any source distribution.""",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file",
 }
 
@@ -57,20 +82,44 @@ def shingle_texts(w: Column) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<string>"))
 
 
-def banded(rows: DataFrame, key: str, stride: int) -> DataFrame:
-    """key, low: the minima of the windows of each row's ``_words``; each minimum has a hash of its own.
+def windows(rows: DataFrame, stride: int, *keys: str) -> DataFrame:
+    """``keys``, the window's ``shingles`` (hashes h0, h1, .. as columns, null beyond the end) and its ``bands`` (b0, b1, ..).
 
-    Windows become rows before anything is hashed, so hashing runs in generated code.
+    Windows become rows before anything is hashed, so hashing runs in generated code.  The minima
+    are of one hash under different exclusive-or masks.
     """
-    names = "abcdef"
     w = F.col("_words")
     starts = F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(stride))
+    names = [f"_w{k}" for k in range(WINDOW + SHINGLE - 1)]
     cut = F.transform(starts, lambda i: F.struct(*[F.get(w, i + k).alias(n) for k, n in enumerate(names)]))
-    windows = rows.select(key, F.inline(F.when(F.size(w) >= SHINGLE, cut)))
-    both = windows.select(key, F.xxhash64(*names[:5]).alias("one"), F.xxhash64(*names[1:]).alias("after"), F.col("f").isNull().alias("alone"))
-    two = F.when(F.col("alone"), F.col("one")).otherwise(F.col("after"))
-    lows = F.array(*[F.least(F.xxhash64("one", F.lit(k)), F.xxhash64("two", F.lit(k))) for k in range(MINIMA)])
-    return both.select(key, "one", two.alias("two")).select(key, F.explode(lows).alias("low"))
+    each = rows.select(*keys, F.inline(F.when(F.size(w) >= SHINGLE, cut)))
+    h = [F.when(F.col(names[k + SHINGLE - 1]).isNotNull(), F.xxhash64(*names[k : k + SHINGLE])).alias(f"h{k}") for k in range(WINDOW)]
+    each = each.select(*keys, *h)
+    low = [F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(mask)) for k in range(WINDOW)]) for mask in MASKS]
+    bands = [F.xxhash64(low[2 * k], low[2 * k + 1], F.lit(k)).alias(f"b{k}") for k in range(BANDS)]
+    return each.select(*keys, *[f"h{k}" for k in range(WINDOW)], *bands)
+
+
+#: Fixed 64-bit masks, made by rule.
+MASKS = [(k * 0x9E3779B97F4A7C15 + 0x7F4A7C15F39CC060) % (1 << 64) - (1 << 63) for k in range(1, 2 * BANDS + 1)]
+
+
+def looked_up(each: DataFrame, *columns: str, key: str) -> DataFrame:
+    return each.select(key, F.explode(F.array_compact(F.array(*columns))).alias("low"))
+
+
+def template_lows(known: DataFrame) -> DataFrame:
+    """template, low: bands of every whole window of the long templates, every shingle of the others."""
+    long = F.size("_words") >= LONG + SHINGLE - 1
+    whole = windows(known.where(long), 1, "template").where(F.col(f"h{WINDOW - 1}").isNotNull())
+    return looked_up(whole, *[f"b{k}" for k in range(BANDS)], key="template").unionByName(looked_up(windows(known.where(~long), 1, "template"), "h0", key="template")).distinct()
+
+
+def candidates_of(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, template of the pairs that meet in a band."""
+    each = windows(docs.select("doc_id", words(F.col("text")).alias("_words")), STRIDE, "doc_id")
+    lows = looked_up(each, *[f"h{k}" for k in range(STRIDE)], *[f"b{k}" for k in range(BANDS)], key="doc_id")
+    return lows.join(sized(template_lows(known)), "low").select("doc_id", "template").distinct()
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -98,21 +147,18 @@ def short_findings(docs: DataFrame, short: list[tuple[str, list[str]]]) -> DataF
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
     """doc_id, template, n_found, n_shingles (of the template), containment; a row for each finding.
 
-    The template tables that are broadcast are as large as the given library, not as the data.
+    The template tables are as large as the given library, not as the data, and broadcast if they are small.
     """
     known = template_table(docs.sparkSession, templates or TEMPLATES)
     sizes = {r["template"]: r["_words"] for r in known.select("template", "_words").collect()}
     if empty := sorted(t for t, w in sizes.items() if not w):
         raise ValueError(f"templates without words: {', '.join(empty)}")
-    bands = F.broadcast(banded(known, "template", 1).distinct())
-    texts = docs.select("doc_id", words(F.col("text")).alias("_words"))
-    candidates = banded(texts, "doc_id", STRIDE).join(bands, "low").select("doc_id", "template").distinct()
-
+    candidates = stored(candidates_of(docs, known), "candidates")
     parts = known.select("template", F.array_distinct(shingle_texts(F.col("_words"))).alias("_parts"))
     parts = parts.select("template", F.size("_parts").cast("long").alias("n_shingles"), F.explode("_parts").alias("_part"))
     wanted = candidates.select(F.col("doc_id").alias("_id")).distinct()
-    near = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
-    held = near.select("doc_id", words(F.col("text")).alias("_words")).select("doc_id", F.explode(F.array_distinct(shingle_texts(F.col("_words")))).alias("_part")).join(F.broadcast(parts), "_part")
+    near = docs.select("doc_id", "text").join(sized(wanted), docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
+    held = near.select("doc_id", words(F.col("text")).alias("_words")).select("doc_id", F.explode(F.array_distinct(shingle_texts(F.col("_words")))).alias("_part")).join(sized(parts), "_part")
     counts = held.groupBy("doc_id", "template", "n_shingles").agg(F.count_distinct("_part").alias("n_found"))
     counts = counts.where(F.col("n_found") >= contained * F.col("n_shingles"))
     pair = candidates.withColumnsRenamed({"doc_id": "_id", "template": "_template"})
