@@ -7,6 +7,7 @@ each treated as a document of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import string
@@ -106,6 +107,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, by other operators too, and their executor has little to spare."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names with as many underscores before them as it takes to clash with no column of ``df`` (case aside)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -141,7 +150,7 @@ def map_texts(df: DataFrame, fn: Callable, out: dict[str, str], keep: tuple[str,
                     kept = [k.take(rows) for k in kept]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[c], t) for c, t in zip(out, arrow, strict=True))], names)
             del batch, raw
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     small_batches(df.sparkSession)
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_raw"))

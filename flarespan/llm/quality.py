@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, bare, bounded_features, bounded_labelled, lists_of, map_texts, place_hash, slices, small_batches
+from .common import WordTable, bare, bounded_features, bounded_labelled, give_back, lists_of, map_texts, place_hash, slices, small_batches
 
 BITS = 18
 #: Documented bounds: at most so many rated documents, and so many places of them in all, are used to fit.
@@ -180,7 +180,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5) -
                     keep.append(float(w[at] @ v) >= least)
                 yield b.slice(lo, hi - lo).filter(pa.array(keep, pa.bool_()))
             del b, raw
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(task, docs.schema)

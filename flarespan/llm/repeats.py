@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, forget, hot_join, map_texts, mix, sized, slices, stored, word_hash
+from .common import WordTable, forget, give_back, hot_join, map_texts, mix, sized, slices, stored, word_hash
 
 #: Starts of strings that are handled at a time, and bytes of text cut into words at a time.
 PIECE = 1 << 20
@@ -315,7 +315,7 @@ def fingerprints(texts: DataFrame, lists: DataFrame, unit: Unit, make, ddl: str)
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
             del batch
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return rows.mapInArrow(task, f"list_id bigint, {ddl}")
 
@@ -420,7 +420,7 @@ def cut(texts: DataFrame, spans: DataFrame, unit: Unit, keep: bool) -> DataFrame
                 more = [pa.array(kept, pa.binary())] if keep else []
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), *more], names)
             del batch, part
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return stored(rows.mapInArrow(task, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep), "cut")
 

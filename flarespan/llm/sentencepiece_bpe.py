@@ -23,7 +23,7 @@ from .common import map_texts
 
 SPACE = "▁"
 #: Entries kept by each of a task's caches (segments; pairs of pieces).
-CACHE, PAIRS = 400_000, 250_000
+CACHE, PAIRS = 120_000, 100_000
 
 
 def read_model(path: str) -> dict:
