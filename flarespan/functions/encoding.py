@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flarespan.config import Level, Roles
@@ -61,21 +61,39 @@ class Encoder:
     stats: dict[str, dict[str, tuple[float, float, float]]]
 
 
+#: Slices of a column's range in which its median is looked for.
+SLICES = 1024
+
+
+def medians(long: DataFrame) -> DataFrame:
+    """(feature, median) of (feature, x), exact: only the values of the slice of the range that holds it are ranked, each once with its number."""
+    each = long.where("x IS NOT NULL").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    ends = each.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all_n"))
+    at = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * (SLICES - 1)), F.lit(0))
+    each = each.join(F.broadcast(ends), "feature").withColumn("slice", at)  # one row for each column
+    before = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    totals = each.groupBy("feature", "slice", "all_n").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(before))
+    low, high = F.floor((F.col("all_n") + 1) / 2), F.ceil((F.col("all_n") + 1) / 2)  # ranks of the two middle values
+    middle = totals.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).select("feature", "slice", (F.col("upto") - F.col("n")).alias("start"))
+    run = Window.partitionBy("feature", "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = each.join(F.broadcast(middle), ["feature", "slice"]).withColumn("upto", F.col("start") + F.sum("n").over(run))  # two slices of each column
+    has = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("x")))
+    return near.groupBy("feature").agg(((has(low) + has(high)) / 2).alias("median"))
+
+
 def fit_stats(t: DataFrame, roles: Roles, exact: bool = True) -> DataFrame:
     """B6 as rows: level, feature, median, least, most.  All-null columns have median 0.
 
-    ``exact=False`` uses approximate medians, for tables whose columns have too many values.
+    ``exact=False`` uses approximate medians.
     """
-    mid = F.median if exact else (lambda c: F.approx_percentile(c, 0.5, 10_000))
-    parts, names = [], []
-    for name, level in roles.levels.items():
-        for c, x in numeric_columns(name, level, roles).items():
-            names.append((name, c))
-            parts.append(F.struct(F.coalesce(mid(x), F.lit(0.0)).alias("median"), F.min(x).alias("low"), F.max(x).alias("high"), F.count_if(x.isNull()).alias("nulls")).alias(f"{name}.{c}"))
-    one = t.agg(*parts)
-    rows = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(c).alias("feature"), F.col(f"`{n}.{c}`").alias("s")) for n, c in names])
-    filled = lambda f, x: F.when(F.col("s.nulls") > 0, f(F.coalesce(x, F.col("s.median")), F.col("s.median"))).otherwise(x)
-    return one.select(F.inline(rows)).select("level", "feature", F.col("s.median").alias("median"), filled(F.least, F.col("s.low")).alias("least"), filled(F.greatest, F.col("s.high")).alias("most"))
+    cols = [(name, c, x) for name, level in roles.levels.items() for c, x in numeric_columns(name, level, roles).items()]
+    each = F.inline(F.array(*[F.struct(F.lit(f"{n}.{c}").alias("feature"), F.lit(n).alias("level"), F.lit(c).alias("name"), x.alias("x")) for n, c, x in cols]))
+    long = t.select(each)
+    ends = long.groupBy("feature", "level", "name").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count_if(F.col("x").isNull()).alias("nulls"))
+    mids = medians(long) if exact else long.groupBy("feature").agg(F.approx_percentile("x", 0.5, 10_000).alias("median"))
+    both = ends.join(F.broadcast(mids), "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))  # one row for each column
+    filled = lambda f, x: F.when(F.col("nulls") > 0, f(F.coalesce(F.col(x), F.col("median")), F.col("median"))).otherwise(F.col(x))
+    return both.select("level", F.col("name").alias("feature"), "median", filled(F.least, "low").alias("least"), filled(F.greatest, "high").alias("most"))
 
 
 def fit_encoder(t: DataFrame, roles: Roles, exact: bool = True) -> Encoder:

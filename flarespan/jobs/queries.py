@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flarespan.config import EVENT_ROLES as ROLES
+from flarespan.config import Settings
 from flarespan.functions import encoding as enc
+from flarespan.jobs import model as job
 from flarespan.operators import confidence as conf
 from flarespan.operators import estimation as est
 from flarespan.operators import evaluation as ev
 from flarespan.operators import embedding as emb
 from flarespan.operators import graph, slots
+from flarespan.operators import importance as importance_op
 from flarespan.sources import transactions as src
 from flarespan.sources.lineage import checkpointed
 
@@ -181,6 +184,35 @@ def estimated(spark, d) -> DataFrame:
     return slots.lifetimes(est.estimated_active(rows, est.fit_slot_ensemble(rows)))
 
 
+#: Settings of the whole job for the event table: short training, ratios given for two levels and searched for one.
+JOB = {"out": 8, "epochs": 20, "share": 0.05, "sample": 60, "grid": (0.05, 0.1, 0.2), "ratios": {"transaction": (0.05, 0.03), "customer": (0.05, 0.03)}, "trees": {"depth": 3, "trees": 8}}
+
+
+def fitted(spark, d):
+    train, test = src.temporal_split(tx(spark, d).where("created IS NOT NULL"), SPLIT)
+    return job.fit(train, ROLES, Settings(frequency=FR, folds=2), estimator=None, **JOB), test
+
+
+def job_predictions(spark, d) -> DataFrame:
+    """Fit on the first weeks, soft labels in the detector, score the last one."""
+    model, test = fitted(spark, d)
+    return r6(job.predict(model, test).select("row_id", "lifetime_id", "score", "adjusted"), "score", "adjusted")
+
+
+def job_update(spark, d) -> DataFrame:
+    """The counts of a refit on the last two weeks with thresholds from quantiles, as rows of a name and a value."""
+    first = job.Fitted(ROLES, Settings(frequency=FR, folds=2), {**JOB, "ratios": {v: (0.05, 0.03) for v in ROLES.levels}}, None, {}, None, None, [], {})
+    summary = job.update(first, tx(spark, d).where("created IS NOT NULL"), 14, 0.9).summary
+    return spark.createDataFrame(sorted((k, round(float(v), 6)) for k, v in summary.items()), "name string, value double")
+
+
+def importance_inside(spark, d) -> DataFrame:
+    """Mean absolute Shapley values over the rows inside lifetimes."""
+    rows = checkpointed(encoded(spark, d).select("row_id", "ts", "label", F.col("v_original").alias("features")))
+    there = slots.assign_lifetime(rows, slots.lifetimes(stats(spark, d))).where("lifetime_id >= 0")
+    return r6(importance_op.mean_abs_shap(rows, there, rows.select(F.size("features").alias("n")).first().n, depth=4, trees=15), "phi")
+
+
 QUERIES = {
     "lifetime_summary": summary,
     "a1_read_transactions": lambda s, d: r6(src.event_transactions(s, d).select("row_id", "user_id", "amount", "label", "k", "gap_sec", "cnt_1h", "sum_1h", "k_band", "n_orders", "avg_total", "last_status", "segment", "region"), "gap_sec", "sum_1h", "avg_total"),
@@ -212,6 +244,10 @@ QUERIES = {
     "e3_signed_knn_edges": lambda s, d: r6(edges(s, d), "distance"),
     "e4_edge_weights": lambda s, d: r6(graph.edge_weights(edges(s, d)).select("src", "dst", "weight"), "weight"),
     "e5_vote_label": lambda s, d: graph.vote_label(edges(s, d), reference(s, d), 3),
+    "d1_shap_importance": importance_inside,
+    "e5_vote_unseen": lambda s, d: emb.vote_unseen(unseen(s, d), reference(s, d), 0.05, 2.0),
+    "g11_fit_predict": job_predictions,
+    "g11_g12_update_summary": job_update,
     "e6_query_edges": lambda s, d: r6(emb.query_edges(unseen(s, d), reference(s, d), 0.05, 0.03, 2.0), "distance"),
     "e7_signed_neighbor_mean": lambda s, d: r6(graph.signed_neighbor_mean(graph.edge_weights(edges(s, d)), reference(s, d)), "mean").withColumnRenamed("at", "place"),
     "e8_e9_embed": lambda s, d: embedded(s, d).select("row_id", F.size("embedding").alias("width"), F.round(F.sqrt(enc.dot(F.col("embedding"), F.col("embedding"))), 6).alias("length")),

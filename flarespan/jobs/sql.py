@@ -150,6 +150,13 @@ SQL = {
     "b9_scale_views": f"{VIEWS}, {by_place('list_concat(va, vb)')} SELECT row_id, place, round(coalesce((v - min(v) OVER p) / nullif(max(v) OVER p - min(v) OVER p, 0), 0), 6) AS v FROM u WINDOW p AS (PARTITION BY place)",
     "d5_fuse": f"{VIEWS}, {by_place('[va[1] * vb[1], va[2] * vb[2], va[3] * vb[3]]')} SELECT row_id, place, round(v, 6) AS v FROM u",
     "d6_final_features": f"{VIEWS}, {by_place('[va[1], va[2], va[3], vb[1], vb[2], vb[3], va[1] * vb[1], va[2] * vb[2], va[3] * vb[3]]')} SELECT row_id, place, round(v, 6) AS v FROM u",
+    "e5_vote_unseen": f"""WITH {VEC},
+cs AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n FROM rf GROUP BY 1),
+kk AS (SELECT label, least(c - 1, greatest(2, round_even(0.05 * (c - 1), 0))) AS kp, least(n - c, greatest(2, round_even(0.03 * (n - c), 0))) AS kn FROM cs),
+qd AS (SELECT a.row_id AS src, b.row_id AS dst, b.label, list_distance(a.x, b.x) AS distance FROM v a CROSS JOIN rf b WHERE a.row_id NOT IN (SELECT row_id FROM rf)),
+vt AS (SELECT src, label, count(*) AS m FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r FROM qd) WHERE r <= (SELECT greatest(1, min(kp)) FROM kk) GROUP BY ALL),
+own AS (SELECT src, arg_max(label, (m, -label)) AS own FROM vt GROUP BY 1)
+SELECT src, own AS vote FROM own""",
     "e6_query_edges": f"""WITH {VEC},
 cs AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n FROM rf GROUP BY 1),
 kk AS (SELECT label, least(c - 1, greatest(2, round_even(0.05 * (c - 1), 0))) AS kp, least(n - c, greatest(2, round_even(0.03 * (n - c), 0))) AS kn FROM cs),
@@ -210,6 +217,8 @@ SELECT src, dst, sign, round(distance, 6) AS distance FROM rk JOIN kk ON kk.labe
     "f9_fraud_possibility": f"{ALL} SELECT row_id, round(p, 6) AS p FROM po",
     "f10_weighted_training_set": f"{ALL} SELECT row_id, target, round(weight, 6) AS weight FROM (SELECT row_id, label AS target, 1.0::DOUBLE AS weight FROM e WHERE row_id NOT IN (SELECT row_id FROM po) UNION ALL SELECT row_id, 1, p FROM po UNION ALL SELECT row_id, 0, 1 - p FROM po) WHERE weight > 0",
     "g3_standardize_slots": f"{BASE} SELECT slot, round((intensity - avg(intensity) OVER ()) / stddev_pop(intensity) OVER (), 6) AS intensity, round((frequency - avg(frequency) OVER ()) / stddev_pop(frequency) OVER (), 6) AS frequency FROM s",
+    "g4_stratified_bootstrap": f"""{BASE}, rk AS (SELECT slot, active, row_number() OVER (PARTITION BY active ORDER BY md5('1:' || slot::VARCHAR), slot) - 1 AS r, count(*) OVER (PARTITION BY active) AS n FROM s)
+        SELECT b.slot, b.active FROM rk a JOIN rk b ON a.active = b.active AND ('0x' || substr(md5('1:draw:' || a.slot::VARCHAR), 1, 13))::BIGINT % a.n = b.r""",
     "g8_nearest_lifetimes": f'{BASE} SELECT row_id, (SELECT max("end") FROM life WHERE "end" <= ts) AS prev_end, (SELECT min(start) FROM life WHERE start > ts) AS next_start FROM e',
     "g9_adjust_scores": f"""{SCORED}, nr AS (SELECT row_id, score, EXISTS (SELECT 1 FROM life WHERE ts >= start AND ts < "end") AS hit,
         exp(-0.1 * (epoch_us(ts) - epoch_us((SELECT max("end") FROM life WHERE "end" <= ts))) / 60e6) AS a, exp(-0.1 * (epoch_us((SELECT min(start) FROM life WHERE start > ts)) - epoch_us(ts)) / 60e6) AS b FROM sc)

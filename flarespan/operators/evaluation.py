@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flarespan.sources.lineage import checkpointed
+
 #: Slices of the score range; cumulative sums run inside a slice and over the slices' totals.
 SLICES = 1024
 
@@ -39,16 +41,27 @@ def roc_auc(df: DataFrame, y: str = "label", s: str = "score") -> DataFrame:
     return c.agg(F.try_divide(F.sum("won"), F.max(F.col("all_pos") * F.col("all_neg"))).alias("roc_auc"))
 
 
+def ranked(df: DataFrame, s: str = "score") -> DataFrame:
+    """The rows with ``rank`` by score, ties by row_id, and ``all_n``.
+
+    Rows are range-partitioned by both, so equal scores need not share a task, and ranked inside
+    their part; the totals of the parts before are added.
+    """
+    parts = checkpointed(df.repartitionByRange(F.desc(s), "row_id").withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("all_n"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(s), "row_id"))
+    return parts.join(F.broadcast(totals), "_part").withColumn("rank", rank).drop("_part", "_before")  # one row for each part
+
+
+def in_top(percent: float) -> Column:
+    return (F.col("rank") <= F.ceil(F.col("all_n") * percent / 100)).cast("int")
+
+
 def top_percent(df: DataFrame, percent: float, s: str = "score") -> DataFrame:
     """H3: ``flagged`` 1 for the first ceil(n * percent / 100) rows by score, ties by row_id."""
-    up = cumulative(df.withColumn("_one", F.lit(0)), "_one", s).select("s", "up_n", "n", "all_n")
-    wanted = F.ceil(F.col("all_n") * percent / 100)
-    rows = df.join(up, df[s] == up["s"])
-    sure = F.when(F.col("up_n") <= wanted, 1).when(F.col("up_n") - F.col("n") >= wanted, 0)
-    rows = rows.withColumn("_sure", sure)
-    edge = rows.where("_sure IS NULL")
-    edge = edge.withColumn("flagged", (F.row_number().over(Window.partitionBy("s").orderBy("row_id")) + F.col("up_n") - F.col("n") <= wanted).cast("int"))
-    return rows.where("_sure IS NOT NULL").withColumn("flagged", F.col("_sure")).unionByName(edge).drop("_sure", "s", "up_n", "n", "all_n")
+    return ranked(df, s).withColumn("flagged", in_top(percent)).drop("rank", "all_n")
 
 
 def confusion_counts(df: DataFrame, y: str = "label", pred: str = "flagged") -> DataFrame:
@@ -66,10 +79,9 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def evaluate(df: DataFrame, percents: tuple[float, ...] = (1, 2, 5, 10), y: str = "label", s: str = "score") -> DataFrame:
-    """H7: one row for each percentage: percent, average_precision, macro_f1, fpr.  A threshold in the ranking is found from cumulative counts, so rows are ranked once."""
-    whole = average_precision(df, y, s)
-    out = None
-    for p in percents:
-        one = with_rates(confusion_counts(top_percent(df, p, s), y)).select(F.lit(float(p)).alias("percent"), "macro_f1", "fpr")
-        out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(whole))  # one row
+    """H7: one row for each percentage: percent, average_precision, macro_f1, fpr.  Rows are ranked once and counted for all percentages in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("percent"), in_top(p).alias("flagged")) for p in percents]))
+    flags = ranked(df, s).select(F.col(y), each.alias("_f")).select(y, "_f.*")
+    both = lambda a, b: F.count_if((F.col(y) == a) & (F.col("flagged") == b))
+    counts = flags.groupBy("percent").agg(both(0, 0).alias("tn"), both(0, 1).alias("fp"), both(1, 0).alias("fn"), both(1, 1).alias("tp"))
+    return with_rates(counts).select("percent", "macro_f1", "fpr").crossJoin(F.broadcast(average_precision(df, y, s)))  # one row

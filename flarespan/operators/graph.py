@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +17,11 @@ def hashed(key: str, seed: int) -> Column:
 
 
 def quotas(counts: dict, size: int) -> dict:
-    """Rows of each class: its share rounded half up, at least min(count, size // (2 classes)); the largest class takes the rest."""
+    """Rows of each class: its share rounded half to even, at least min(count, size // (2 classes)); the largest class takes the rest."""
     n = sum(counts.values())
     if n <= size:
         return dict(counts)
-    out = {c: max(math.floor(size * k / n + 0.5), min(k, size // (2 * len(counts)))) for c, k in counts.items()}
+    out = {c: max(round(size * k / n), min(k, size // (2 * len(counts)))) for c, k in counts.items()}
     largest = max(sorted(counts), key=lambda c: counts[c])
     out[largest] += size - sum(out.values())
     return out
@@ -45,29 +43,59 @@ def k_from_ratio(r: Column, m: Column) -> Column:
     return F.least(m, F.greatest(F.lit(2), F.bround(r * m).cast("long")))
 
 
+def neighbours(r: float, m: int) -> int:
+    """``k_from_ratio`` for one number."""
+    return min(m, max(2, round(r * m)))
+
+
+def distances(q: np.ndarray, xs: np.ndarray, p: float) -> np.ndarray:
+    out = np.zeros((len(q), len(xs)))
+    for a, b in zip(q.T, xs.T, strict=True):
+        out += np.abs(a[:, None] - b[None]) ** p
+    return out ** (1 / p)
+
+
+def signed_edges(d: np.ndarray, labels: np.ndarray, ys: np.ndarray, r_pos: float, r_neg: float):
+    """(row, column, sign, distance) of the nearest of the own class and of the others; infinite distances are no edges, ties go to the first column."""
+    out = []
+    for c in np.unique(labels):
+        mine = np.flatnonzero(labels == c)
+        same = int((ys == c).sum())
+        for sign, there, k in ((1, ys == c, neighbours(r_pos, max(same - 1, 0))), (-1, ys != c, neighbours(r_neg, len(ys) - same))):
+            here = np.where(there, d[mine], np.inf)
+            at = np.argsort(here, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(here, at, 1)
+            ok = np.isfinite(near)
+            out.append((np.repeat(mine, at.shape[1])[ok.ravel()], at[ok], np.full(int(ok.sum()), sign), near[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def arrays(ref: DataFrame, key: str, y: str, vector: str, cap: int = MOST_REFERENCE):
+    """(ids, labels, matrix) of a reference of a checked size, by id."""
+    rows = ref.select(F.col(key).cast("long").alias("i"), F.col(y).cast("int").alias("c"), F.col(vector).alias("x")).orderBy("i").limit(cap + 1).toPandas()
+    if len(rows) > cap:
+        raise ValueError(f"the reference has more than {cap} rows")
+    return rows["i"].to_numpy(), rows["c"].to_numpy(), np.array(rows["x"].tolist(), float).reshape(len(rows), -1)
+
+
 def signed_knn_edges(ref: DataFrame, r_pos: float, r_neg: float, p: float = 3.0, key: str = "row_id", y: str = "label", vector: str = "x", cap: int = MOST_REFERENCE) -> DataFrame:
     """(src, dst, sign, distance): nearest of the own class with +, of the others with -; ties by id.
 
     The reference has at most ``cap`` rows (an error otherwise), so it can be sent to every task.
     """
-    rows = ref.select(F.col(key).cast("long"), F.col(y).cast("int"), vector).orderBy(key).limit(cap + 1).toPandas()
-    if len(rows) > cap:
-        raise ValueError(f"the reference has more than {cap} rows")
-    shared = ref.sparkSession.sparkContext.broadcast((rows[key].to_numpy(), rows[y].to_numpy(), np.array(rows[vector].tolist(), float).reshape(len(rows), -1)))
+    shared = ref.sparkSession.sparkContext.broadcast(arrays(ref, key, y, vector, cap))
 
     def task(batches):
         import pandas as pd
 
         ids, ys, xs = shared.value
         for pdf in batches:
-            out = []
-            for i, c, x in zip(pdf["id"], pdf["c"], pdf["x"], strict=True):
-                d = (np.abs(xs - np.asarray(x, float)) ** p).sum(1) ** (1 / p)
-                for sign, at, r in ((1, np.flatnonzero((ys == c) & (ids != i)), r_pos), (-1, np.flatnonzero(ys != c), r_neg)):
-                    k = min(len(at), max(2, round(r * len(at))))
-                    best = at[np.lexsort((ids[at], d[at]))[:k]]
-                    out += [(i, ids[b], sign, d[b]) for b in best]
-            yield pd.DataFrame(out, columns=["src", "dst", "sign", "distance"])
+            for lo in range(0, len(pdf), 1024):
+                part = pdf.iloc[lo : lo + 1024]
+                d = distances(np.array(part["x"].tolist(), float), xs, p)
+                d[part["id"].to_numpy()[:, None] == ids] = np.inf
+                row, col, sign, far = signed_edges(d, part["c"].to_numpy(), ys, r_pos, r_neg)
+                yield pd.DataFrame({"src": part["id"].to_numpy()[row], "dst": ids[col], "sign": sign, "distance": far})
 
     source = ref.select(F.col(key).cast("long").alias("id"), F.col(y).cast("int").alias("c"), F.col(vector).alias("x"))
     return source.mapInPandas(task, "src bigint, dst bigint, sign int, distance double")
@@ -92,20 +120,24 @@ def vote_label(edges: DataFrame, ref: DataFrame, k: int, key: str = "row_id", y:
     return votes.groupBy("src").agg(F.max_by("c", F.struct("n", (-F.col("c")).alias("low"))).alias("vote"))
 
 
+def class_rank(df: DataFrame, names: list[str], key: str, seed: int) -> DataFrame:
+    """``_rank`` from 0 within the class in hash order: ranks inside slices of the order plus the slices' totals, so no class is sorted in one task."""
+    rows = df.withColumn("_h", hashed(key, seed)).withColumn("_s", F.substring("_h", 1, 2))
+    totals = rows.groupBy(*names, "_s").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy(*names).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*names, "_s", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy(*names, "_s").orderBy("_h", key)) - 1 + F.col("_b")
+    return rows.join(F.broadcast(totals), [*names, "_s"]).withColumn("_rank", rank).drop("_h", "_s", "_b")  # 256 rows for each class
+
+
 def fold_assign(df: DataFrame, y: str, folds: int = 5, key: str = "row_id", seed: int = 0) -> DataFrame:
     """``fold`` by rank within the class in hash order; fewer folds where the smallest class is smaller, plain folds below two."""
     counts = [r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()]
     n = min(folds, *counts) if counts else folds
     names = [y] if n >= 2 else ["_all"]
     n = n if n >= 2 else max(1, min(folds, sum(counts)))
-    # ranks over slices of the order plus the slices' totals: no class is sorted in one task
-    rows = df.withColumns({"_h": hashed(key, seed), "_all": F.lit(0)}).withColumn("_s", F.substring("_h", 1, 2))
-    totals = rows.groupBy(*names, "_s").agg(F.count(F.lit(1)).alias("m"))
-    before = Window.partitionBy(*names).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*names, "_s", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_b"))
-    rank = F.row_number().over(Window.partitionBy(*names, "_s").orderBy("_h", key)) - 1 + F.col("_b")
-    out = rows.join(F.broadcast(totals), [*names, "_s"]).withColumn("fold", (rank % n).cast("int"))  # 256 rows for each class
-    return out.drop("_h", "_s", "_b", "_all")
+    out = class_rank(df.withColumn("_all", F.lit(0)), names, key, seed)
+    return out.withColumn("fold", (F.col("_rank") % n).cast("int")).drop("_rank", "_all")
 
 
 def edge_reciprocity(edges: DataFrame) -> DataFrame:
