@@ -2,7 +2,8 @@
 
 ``store`` turns a binary payload into a PNG file 64 samples wide, ``load`` reads it back (chunk
 checksums, zlib stream, numpy unfiltering of all five filter types), ``dct_hash`` hashes its low
-frequencies.  A null or empty text is one row of zero samples.  Damaged media raise ``ValueError``.
+frequencies.  A null or empty text is one row of zero samples.  Long texts are stored whole.  Equal
+texts have equal media; repeated rows are each stored.  Damaged media raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 WIDTH = 64
+#: Rows that are filtered at a time.
+ROWS = 1 << 14
 #: Bytes of compressed data in one IDAT chunk.
 IDAT_BYTES = 1 << 16
 #: Side of the averaged picture and of the block of low frequencies that is hashed.
@@ -36,27 +39,37 @@ def chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def store(payload: bytes, level: int = 4) -> bytes:
-    """PNG of a payload; each row takes the filter (none, sub, up) with the least sum of magnitudes."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+def filtered(rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Filter kinds and samples of some rows, with the row above them; each row takes the filter (none, sub, up) with the least sum of magnitudes."""
     tries = np.empty((3, *rows.shape), np.uint8)
     tries[0] = rows
     tries[1, :, 0] = rows[:, 0]
     np.subtract(rows[:, 1:], rows[:, :-1], out=tries[1, :, 1:])
-    tries[2, 0] = rows[0]
+    np.subtract(rows[0], above, out=tries[2, 0])
     np.subtract(rows[1:], rows[:-1], out=tries[2, 1:])
     best = np.abs(tries.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
     lines = np.empty((len(rows), WIDTH + 1), np.uint8)
     lines[:, 0] = best
     lines[:, 1:] = tries[best, np.arange(len(rows))]
-    body = zlib.compress(lines.tobytes(), level)
+    return lines
+
+
+def store(payload: bytes, level: int = 4) -> bytes:
+    """PNG of a payload, made some rows at a time."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    packed, above, body = zlib.compressobj(level), np.zeros(WIDTH, np.uint8), []
+    for lo in range(0, len(rows), ROWS):
+        part = rows[lo : lo + ROWS]
+        body.append(packed.compress(filtered(part, above).tobytes()))
+        above = part[-1]
+    body = b"".join([*body, packed.flush()])
     head = chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0))
     parts = [chunk(b"IDAT", body[i : i + IDAT_BYTES]) for i in range(0, len(body), IDAT_BYTES)]
     return b"".join([SIGNATURE, head, *parts, chunk(b"IEND", b"")])
 
 
 def unfilter(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Rows of samples from filtered rows.  Whole runs of none, sub and up rows go at once; the others row by row."""
+    """Rows of samples from filtered rows.  Whole runs of none, sub and up rows go at once; the others diagonal by diagonal."""
     out = lines.copy()
     if (kinds > PAETH).any():
         raise ValueError("unknown row filter")
@@ -71,21 +84,28 @@ def unfilter(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
         if kind == UP:
             out[lo:hi] = np.cumsum(np.vstack([above[None], lines[lo:hi]]), axis=0, dtype=np.uint8)[1:]
             continue
-        for r in range(lo, hi):
-            left, corner, now, up, got = 0, 0, lines[r].tolist(), above.tolist(), []
-            for x, u in zip(now, up, strict=True):
-                if kind == AVERAGE:
-                    left = (x + (left + u) // 2) & 255
-                else:
-                    p = left + u - corner
-                    a, b, c = abs(p - left), abs(p - u), abs(p - corner)
-                    left = (x + (left if a <= b and a <= c else u if b <= c else corner)) & 255
-                corner = u
-                got.append(left)
-            out[r] = above = np.array(got, np.uint8)
+        out[lo:hi] = diagonals(kind, lines[lo:hi], above)
     return out
 
 
+def diagonals(kind: int, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Undo average or Paeth on rows of one kind: a sample needs those to its left and above, so all samples of a diagonal go at once."""
+    n, width = lines.shape
+    got = np.zeros((n + 1, width + 1), np.int32)
+    got[0, 1:] = above
+    for d in range(n + width - 1):
+        r = np.arange(max(0, d - width + 1), min(n, d + 1))
+        c = d - r
+        left, up, corner = got[r + 1, c], got[r, c + 1], got[r, c]
+        if kind == AVERAGE:
+            guess = (left + up) // 2
+        else:
+            a, b, e = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            guess = np.where((a <= b) & (a <= e), left, np.where(b <= e, up, corner))
+        got[r + 1, c + 1] = (lines[r, c] + guess) & 255
+    return got[1:, 1:].astype(np.uint8)
+
+
 def load(media: bytes) -> np.ndarray:
     """The samples, one row for each picture row; every checksum is tested."""
     if media[:8] != SIGNATURE:
