@@ -75,7 +75,7 @@ def test_network_finds_secrets_of_kinds_it_has_not_seen(rated):
     for kind in (0, 2, 5):
         rest = tuple(k for k in range(secrets.SECRETS) if k != kind)
         rows = [r for t in texts[:1500] for r in secrets.labelled(t, rest)]
-        some = [r for k in range(4) for r in sorted({r for r in rows if r[2] == k}, key=lambda r: hashlib.md5(r[0]).digest())[:800]]
+        some = [r for k in range(4) for r in sorted({r for r in rows if r[2] == k}, key=lambda r: hashlib.md5(r[0]).digest())[: secrets.MOST_EACH]]
         net, rng, there, put = secrets.fitted(some), random.Random(kind), [], []
         for t in texts[1500:]:
             at, made = t.find(" ") + 1, secrets.made_up(rng, kind)
