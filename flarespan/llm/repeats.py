@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, forget, give_back, hot_join, map_texts, mix, sized, slices, stored, word_hash
+from .common import forget, give_back, hot_join, map_texts, mix, sized, slices, stored
 
 #: Starts of strings that are handled at a time, and bytes of text cut into words at a time.
 PIECE = 1 << 20
@@ -46,6 +46,11 @@ FIRST_BATCH = 1 << 20
 KEY, ENTRY = ["k1", "k2"], ["head", "gram", "body"]
 
 
+#: A random value for each byte, made by rule; and the bytes that part words.
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+WHITE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
 class Rolling:
     """Fingerprints of any substring from prefix sums of random symbol values, modulo 2 ** 64."""
 
@@ -84,7 +89,7 @@ class Unit:
         return lambda raw: np.frombuffer(raw, np.uint8)
 
     def values(self, symbols: np.ndarray) -> np.ndarray:
-        return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[symbols]
+        return BYTE_VALUES[symbols]
 
     def heads(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The first bytes of the suffixes as numbers in their order."""
@@ -101,17 +106,20 @@ class Words(Unit):
     anywhere = False
 
     def reader(self):
-        words = WordTable(lambda w: (word_hash(w),), 1)
+        roll = Rolling()
 
         def read(raw: bytes) -> np.ndarray:
-            out, at = [], 0
+            """Fingerprints of the words."""
+            out, at = [np.empty(0, np.uint64)], 0
             while at < len(raw):  # a piece ends at white space, a longer word is not cut
-                end = at + PIECE
-                while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
+                end = min(at + PIECE, len(raw))
+                while end < len(raw) and not WHITE[raw[end]]:
                     end += 1
-                out.append(words.hashes(raw[at:end].split())[:, 0])
+                data = np.frombuffer(raw, np.uint8, end - at, at)
+                edges = np.flatnonzero(np.diff(np.r_[True, WHITE[data], True]))
+                out.append(roll.prints(roll.sums(BYTE_VALUES[data]), edges[::2], edges[1::2]))
                 at = end
-            return np.concatenate(out) if out else np.empty(0, np.uint64)
+            return np.concatenate(out)
 
         return read
 
@@ -251,12 +259,18 @@ class Family:
         return out.withColumn("twice", F.col("lo") != F.col("hi"))
 
 
+def word_count(raw: bytes) -> int:
+    """Places where a word begins."""
+    white = WHITE[np.frombuffer(raw, np.uint8)]
+    return int(np.count_nonzero(white[:-1] & ~white[1:])) + int(len(white) and not white[0])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2, n_bytes, n_words and ``sha`` (SHA-256) of each text."""
 
     def run(raw):
         keys = [text_key(x) for x in raw]
-        words = [sum(len(x[at : at + PIECE].split()) for at in range(0, len(x), PIECE)) for x in raw]  # a cut word of a long text counts twice
+        words = [word_count(x) for x in raw]
         return {"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n_bytes": [len(x) for x in raw], "n_words": words, "sha": [hashlib.sha256(x).hexdigest() for x in raw]}
 
     return map_texts(docs.select("doc_id", "text"), run, {"k1": "long", "k2": "long", "n_bytes": "long", "n_words": "long", "sha": "string"})
