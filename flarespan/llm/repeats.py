@@ -204,21 +204,21 @@ def entries(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def one_each(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*ENTRY).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("side").alias("side"), F.max("side_hi").alias("side_hi"))
+    return rows.groupBy(*ENTRY).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("side").alias("side"), F.max("side_hi").alias("side_hi"), F.sum("n").alias("n"))
 
 
-def sided(rows: DataFrame, side: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    return rows.select(*ENTRY, F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.lit(side).alias("side"), F.lit(side).alias("side_hi"))
+def sided(rows: DataFrame, side: int) -> DataFrame:
+    return rows.select(*ENTRY, "lo", "hi", F.lit(side).alias("side"), F.lit(side).alias("side_hi"), "n")
 
 
 def scanned(rows: DataFrame) -> DataFrame:
-    """ENTRY, lo, hi in suffix order, and what their suffix has: different ``bodies``, both sides, two occurrences (``again``).
+    """ENTRY, lo, hi, n (rows) in suffix order, and what their suffix has: different ``bodies``, both sides, two occurrences (``again``).
 
     One range partitioning by suffix serves the order, the union of equal runs and the scan.
     """
     suffix = Window.partitionBy("head", "gram")
     return one_each(rows.repartitionByRange("head", "gram")).sortWithinPartitions(*ENTRY).select(
-        *ENTRY, "lo", "hi", (F.min("body").over(suffix) != F.max("body").over(suffix)).alias("bodies"),
+        *ENTRY, "lo", "hi", "n", (F.min("body").over(suffix) != F.max("body").over(suffix)).alias("bodies"),
         (F.min("side").over(suffix) != F.max("side_hi").over(suffix)).alias("both"), (F.min("lo").over(suffix) != F.max("hi").over(suffix)).alias("again"),
     )
 
@@ -232,7 +232,8 @@ class Family:
 
     def add(self, rows: DataFrame, last: bool = False) -> None:
         """Index a batch of entries with ``occ``, their occurrence; after the ``last`` batch no levels are merged any more."""
-        new, size = stored(scanned(one_each(sided(rows, 1, "occ", "occ"))), "level"), 1
+        rows = rows.select(*ENTRY, F.col("occ").alias("lo"), F.col("occ").alias("hi"), F.lit(1).cast("long").alias("n"))
+        new, size = stored(scanned(one_each(sided(rows, 1))), "level"), 1
         self._hit(new.where("again"))
         joining = True
         for k, old in sorted(self.levels.items()):
@@ -248,14 +249,14 @@ class Family:
         self.levels[size if not last else 0] = new
 
     def _hit(self, found: DataFrame) -> None:
-        self.hits.append(stored(found.select(*ENTRY, "lo", "hi", "bodies"), "hits"))
+        self.hits.append(stored(found.select(*ENTRY, "lo", "hi", "n", "bodies"), "hits"))
 
     def found(self) -> DataFrame:
-        """ENTRY, lo, hi, mixed (other runs share the suffix), twice (the run repeats)."""
+        """ENTRY, lo, hi, n, mixed (other runs share the suffix), twice (the run repeats)."""
         out = self.hits[0]
         for h in self.hits[1:]:
             out = out.unionByName(h)
-        out = out.groupBy(*ENTRY).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("bodies").alias("mixed"))
+        out = out.groupBy(*ENTRY).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"), F.max("bodies").alias("mixed"))
         return out.withColumn("twice", F.col("lo") != F.col("hi"))
 
 
@@ -390,9 +391,9 @@ def index(docs: DataFrame, unit: Unit, batches: int | None = None) -> DataFrame:
     family = Family()
     for k in range(batches):
         family.add(found.where(F.pmod(F.xxhash64("k1"), F.lit(batches)) == k), last=k + 1 == batches)
-    flags = family.found().withColumnsRenamed({"lo": "occ_lo", "hi": "occ_hi"})
-    rows = stored(found.drop("occ").join(flags, ENTRY), "runs")
-    forget(found, *family.hits, *family.levels.values())
+    flags = stored(family.found().withColumnsRenamed({"lo": "occ_lo", "hi": "occ_hi"}), "flags")
+    rows = stored(hot_join(found.drop("occ"), flags, ENTRY, "n"), "runs")
+    forget(found, flags, *family.hits, *family.levels.values())
     return rows
 
 
