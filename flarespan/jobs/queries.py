@@ -49,20 +49,23 @@ def inside(spark, d) -> DataFrame:
     """Events with their lifetime and two small views: (amount, k) and (amount, k of the hour), scaled."""
     t = slots.assign_lifetime(events(spark, d), slots.lifetimes(stats(spark, d)))
     a, k = F.col("amount") / 100, F.col("k") / 99
-    return t.withColumns({"va": F.array(a, k), "vb": F.array(a, F.hour("ts") / 24)})
+    return checkpointed(t.withColumns({"va": F.array(a, k), "vb": F.array(a, F.hour("ts") / 24)}))  # used several times in a query
 
 
-def sure(spark, d):
-    return conf.confidence(conf.similarity_to_frauds(inside(spark, d), ["va", "vb"]))
+def sure(rows):
+    return conf.confidence(conf.similarity_to_frauds(rows, ["va", "vb"]))
 
 
-def rest(spark, d):
-    rows = inside(spark, d)
-    return conf.remaining(rows, conf.high_confidence(sure(spark, d), rows, 1))
+def high(rows):
+    return conf.high_confidence(sure(rows), rows, 1)
 
 
-def raw_possibility(spark, d):
-    return conf.possibility_raw(inside(spark, d), rest(spark, d), ["va", "vb"])
+def rest(rows):
+    return conf.remaining(rows, high(rows))
+
+
+def raw_possibility(rows):
+    return conf.possibility_raw(rows, rest(rows), ["va", "vb"])
 
 
 def scored(spark, d):
@@ -258,15 +261,15 @@ QUERIES = {
     "e14_strong_components": lambda s, d: graph.strong_components(graph.shortest_paths(edges(s, d)), reference(s, d)),
     "e15_select_k_ratios": lambda s, d: r6(emb.select_k_ratios(reference(s, d)), "mean_path", "reciprocity", "score"),
     "f1_similarity": lambda s, d: r6(conf.similarity_to_frauds(inside(s, d), ["va", "vb"]), "similarity"),
-    "f2_confidence": lambda s, d: r6(sure(s, d).drop("similarity"), "confidence"),
-    "f3_high_confidence": lambda s, d: conf.high_confidence(sure(s, d), inside(s, d), 1).select("row_id", "lifetime_id"),
-    "f4_remaining": lambda s, d: rest(s, d).select("row_id", "lifetime_id"),
+    "f2_confidence": lambda s, d: r6(sure(inside(s, d)).drop("similarity"), "confidence"),
+    "f3_high_confidence": lambda s, d: high(inside(s, d)).select("row_id", "lifetime_id"),
+    "f4_remaining": lambda s, d: rest(inside(s, d)).select("row_id", "lifetime_id"),
     "f5_temporal_weight": lambda s, d: events(s, d).select("row_id", F.round(conf.temporal_weight(F.col("k") - 50), 9).alias("weight")),
     "f6_windowed_fraud_means": lambda s, d: near(conf.windowed_fraud_means(inside(s, d).where("lifetime_id >= 0 AND label = 1"), "va").select("j", F.col("w")[0].alias("w0"), F.col("w")[1].alias("w1")), "w0", "w1"),
-    "f7_possibility_raw": lambda s, d: r6(raw_possibility(s, d), "fps"),
+    "f7_possibility_raw": lambda s, d: r6(raw_possibility(inside(s, d)), "fps"),
     "f8_temporal_correlation": lambda s, d: r6(conf.temporal_correlation(inside(s, d), ["va", "vb"]).select("i", "j", "view", "m"), "m"),
-    "f9_fraud_possibility": lambda s, d: r6(conf.fraud_possibility(raw_possibility(s, d)).select("row_id", "p"), "p"),
-    "f10_weighted_training_set": lambda s, d: r6(conf.weighted_training_set(events(s, d), conf.fraud_possibility(raw_possibility(s, d))), "weight"),
+    "f9_fraud_possibility": lambda s, d: r6(conf.fraud_possibility(raw_possibility(inside(s, d))).select("row_id", "p"), "p"),
+    "f10_weighted_training_set": lambda s, d: r6(conf.weighted_training_set(events(s, d), conf.fraud_possibility(raw_possibility(inside(s, d)))), "weight"),
     "g1_g2_g10_detect": detected,
     "g3_standardize_slots": lambda s, d: r6(est.standardize_slots(stats(s, d).select("slot", "intensity", "frequency"), ["intensity", "frequency"]), "intensity", "frequency"),
     "g4_stratified_bootstrap": lambda s, d: est.stratified_bootstrap(stats(s, d).select("slot", "active"), "active", "slot", 1),
