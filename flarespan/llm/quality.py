@@ -116,6 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, rating: Column, grades: int, where=N
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1 - np.arange(len(t))]), pa.array(np.r_[w[at], t])], ["place", "weight"])
 
     got = rated.repartition(1).mapInArrow(task, "place bigint, weight double").collect()
+    if not got:  # no task runs on a table without rows
+        return [], fit_ordinal([], grades)[1].tolist()
     weights = [(r.place, r.weight) for r in got if r.place >= 0]
     return weights, [r.weight for r in sorted(got, key=lambda r: -r.place) if r.place < 0]
 

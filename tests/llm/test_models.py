@@ -45,6 +45,15 @@ def test_quality_of_held_out_documents(rated):
     assert tail and (np.diff(t) > 0).all()
 
 
+def test_models_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
+    for none in (labels, labels.where("false")):
+        assert [r.tail_1 for r in quality.quality(docs, none).collect()] == [0.5, 0.5]
+        assert quality.drop_rejected(docs, none).count() == 2
+        assert [r.score for r in toxicity.toxicity(docs, none).collect()] == [0.5, 0.5]
+
+
 def test_shape_reads_whole_words():
     assert quality.shape("a" * 100 + "-9") == "x-9" and quality.shape("Ab12.c") == "Xx9.x"
 
