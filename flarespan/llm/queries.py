@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, licenses, media, mixing, near_dedup, quality, repeats, secrets, sentencepiece_bpe, toxicity
+from . import exact_dedup, licenses, line_dedup, manifest, media, mixing, near_dedup, oracles, quality, repeats, secrets, sentencepiece_bpe, spelling, toxicity
 from .common import table
 
 
@@ -49,6 +49,18 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85).drop("md5", "stays")
 
 
+def op11_spelling_forms(spark, sf_dir):
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.lower_cased_third())
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.without_common_lines(table(spark, sf_dir, "documents"), texts=False)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_media_columns": op2_media_columns,
@@ -60,11 +72,17 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dedup": op10_near_dedup,
+    "op11_spelling_forms": op11_spelling_forms,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 SQL = {
     "op1_license_scan": licenses.sql(),
     "op7_mixing": mixing.SQL,
+    "op11_spelling_forms": oracles.spelling(),
+    "op12_merkle_manifest": oracles.manifest(),
+    "op13_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
