@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, forget, give_back, hot_join, slices, small_batches, stored
+from .common import forget, give_back, hot_join, slices, small_batches, stored
 
 #: What counts as white space at the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -107,8 +107,8 @@ def reassembled(rows: DataFrame, texts: bool) -> DataFrame:
 def without_common_lines(docs: DataFrame, least_docs: int = 5, least_chars: int = 40, texts: bool = True) -> DataFrame:
     """One row for each input row: doc_id, n_lines (before dropping), n_dropped, kept_sha256, and the kept ``text`` where ``texts`` is set.
 
-    Texts that lose nothing stay where they are where the dropped positions are few enough to
-    broadcast (they are counted first); beyond that every text is shuffled once.
+    Every text is shuffled once to meet its dropped positions, at any size of the input; beside it only
+    keys and positions move.
     """
     if least_docs < 2 or least_chars < 1:
         raise ValueError("least_docs must be 2 or more and least_chars 1 or more")
@@ -116,13 +116,10 @@ def without_common_lines(docs: DataFrame, least_docs: int = 5, least_chars: int
     common = stored(common_lines(lines, least_docs), "common")
     drops = stored(dropped_positions(lines, common).withColumnRenamed("doc_id", "_id"), "drops")
     forget(lines, common)
-    size = drops.agg(F.sum(F.size("drops") + F.lit(8))).first()[0] or 0
-    slim = F.broadcast(drops) if size <= 4 * MOST_BROADCAST else drops
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("_key"))
-    both = rows.join(slim, (rows["_key"] == drops["text_key"]) & rows["doc_id"].eqNullSafe(drops["_id"]), "left")
-    whole = both.where("drops IS NULL").select("doc_id", (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lower(F.hex("_key")).alias("kept_sha256"), *(["text"] if texts else []))
-    return whole.unionByName(reassembled(both.where("drops IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("_raw"), "drops"), texts))
+    rows = docs.select("doc_id", text.cast("binary").alias("_raw"), F.unhex(F.sha2(text, 256)).alias("_key"))
+    both = rows.join(drops.hint("shuffle_hash"), (rows["_key"] == drops["text_key"]) & rows["doc_id"].eqNullSafe(drops["_id"]), "left")
+    return reassembled(both.select("doc_id", "_raw", F.coalesce("drops", F.array().cast("array<int>")).alias("drops")), texts)
 
 
 SQL = r"""
