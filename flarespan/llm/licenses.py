@@ -1,15 +1,23 @@
 """License scans in DataFrame operations only.
 
-Texts become words, words five-word shingles.  A window is WINDOW consecutive shingles and one starts
-every STRIDE words, so windows overlap and every shingle is in two.  A window has BANDS bands of two
-minima each.  Templates of at least LONG shingles have windows at every offset, so each window of a
-text that lies inside a copy meets the window at its place.  A copy that holds 0.8 of the template's
-shingles, with its changes spread evenly, leaves windows with a Jaccard similarity of 0.67, which
-collide in a band with probability 1 - (1 - 0.67 ** 2) ** BANDS = 0.97; there are at least two such
-windows, so it is missed with probability 0.001 at most, and of a whole license text (150 shingles,
-over 20 windows) with one below 1e-30.  In a shorter notice a window would hold mostly other text: its windows are
-single shingles, whose minimum is the shingle itself, and it is never missed.  What is retrieved is verified
-on exact shingles of the whole text: the share of the template's shingles that the text holds.
+Texts become hashed words, these five-word shingles.  Documents that hold no shingle of the library
+at all are set aside first: none of their windows could meet a template.  In the others a window is
+WINDOW consecutive shingles and one starts every STRIDE words, so windows overlap and every shingle is
+in two.  A window has BANDS bands of two minima each.  Templates of at least LONG shingles have windows
+at every offset, so each window of a text that lies inside a copy meets the window at its place.
+
+How sure that is.  A window without a change inside a copy always collides with its twin, and 17 untouched
+shingles in a row always hold such a window.  A changed word spoils five shingles: a copy with 0.8 of a
+template of n shingles has at most n / 25 changed words and so at most n / 25 + 1 untouched runs with
+0.8 n shingles, of which one has 17 for every n above 100.  It is never missed.  An inserted word spoils
+four, and runs of 16 are possible, which hold a whole window in five of six alignments; a window with one
+change still shares 7 of the 17 shingles of both and collides in a band with probability
+1 - (1 - (7 / 17) ** 2) ** BANDS = 0.67, so the 14 windows and more of a copy would all miss with a
+probability below 1e-6.  A template is taken as long from LONG shingles on.
+
+In a shorter notice a window would hold mostly other text: its windows are single shingles, whose
+minimum is the shingle itself, and it is never missed.  What is retrieved is verified on exact
+shingles of the whole text: the share of the template's shingles that the text holds.
 
 A template of fewer than five words is one shingle of all its words.  It is looked for in the whole
 text directly, without bands, so it is never missed.  A template without words is an error.
@@ -24,9 +32,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import forget, sized, stored
 
-SHINGLE, WINDOW, STRIDE, BANDS, LONG = 5, 12, 6, 6, 24
+SHINGLE, WINDOW, STRIDE, BANDS, LONG = 5, 12, 6, 6, 101
 CONTAINED = 0.8
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -82,44 +90,68 @@ def shingle_texts(w: Column) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, SHINGLE)))).otherwise(F.array().cast("array<string>"))
 
 
-def windows(rows: DataFrame, stride: int, *keys: str) -> DataFrame:
-    """``keys``, the window's ``shingles`` (hashes h0, h1, .. as columns, null beyond the end) and its ``bands`` (b0, b1, ..).
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
-    Windows become rows before anything is hashed, so hashing runs in generated code.  The minima
-    are of one hash under different exclusive-or masks.
+
+def shingled(rows: DataFrame, stride: int, n: int, *keys: str) -> DataFrame:
+    """``keys`` and h0, h1, ..: the hashes of ``n`` shingles from every ``stride``-th word on, null beyond the end.
+
+    ``rows`` has the hashed words as ``_words``.  Stretches of words become rows before shingles are
+    hashed, so hashing runs in generated code.
     """
     w = F.col("_words")
     starts = F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(stride))
-    names = [f"_w{k}" for k in range(WINDOW + SHINGLE - 1)]
-    cut = F.transform(starts, lambda i: F.struct(*[F.get(w, i + k).alias(n) for k, n in enumerate(names)]))
+    names = [f"_w{k}" for k in range(n + SHINGLE - 1)]
+    cut = F.transform(starts, lambda i: F.struct(*[F.get(w, i + k).alias(x) for k, x in enumerate(names)]))
     each = rows.select(*keys, F.inline(F.when(F.size(w) >= SHINGLE, cut)))
-    h = [F.when(F.col(names[k + SHINGLE - 1]).isNotNull(), F.xxhash64(*names[k : k + SHINGLE])).alias(f"h{k}") for k in range(WINDOW)]
-    each = each.select(*keys, *h)
+    return each.select(*keys, *[F.when(F.col(names[k + SHINGLE - 1]).isNotNull(), F.xxhash64(*names[k : k + SHINGLE])).alias(f"h{k}") for k in range(n)])
+
+
+def band_rows(windows: DataFrame, key: str) -> DataFrame:
+    """``key``, low: the bands of windows of ``shingled``; the minima are of one hash under different exclusive-or masks.
+
+    Give it a stored table: hashing and minima together, or all minima at once, would be a generated
+    method too long for the JVM to compile (8,000 bytes), so the bands are made in two scans.
+    """
     low = [F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(mask)) for k in range(WINDOW)]) for mask in MASKS]
-    bands = [F.xxhash64(low[2 * k], low[2 * k + 1], F.lit(k)).alias(f"b{k}") for k in range(BANDS)]
-    return each.select(*keys, *[f"h{k}" for k in range(WINDOW)], *bands)
+    bands = [F.xxhash64(low[2 * k], low[2 * k + 1], F.lit(k)) for k in range(BANDS)]
+    return looked_up(windows, *bands[: BANDS // 2], key=key).unionByName(looked_up(windows, *bands[BANDS // 2 :], key=key))
 
 
 #: Fixed 64-bit masks, made by rule.
 MASKS = [(k * 0x9E3779B97F4A7C15 + 0x7F4A7C15F39CC060) % (1 << 64) - (1 << 63) for k in range(1, 2 * BANDS + 1)]
 
 
-def looked_up(each: DataFrame, *columns: str, key: str) -> DataFrame:
+def looked_up(each: DataFrame, *columns: str | Column, key: str) -> DataFrame:
     return each.select(key, F.explode(F.array_compact(F.array(*columns))).alias("low"))
 
 
 def template_lows(known: DataFrame) -> DataFrame:
     """template, low: bands of every whole window of the long templates, every shingle of the others."""
+    rows = known.select("template", F.transform("_words", lambda w: F.xxhash64(w)).alias("_words"))
     long = F.size("_words") >= LONG + SHINGLE - 1
-    whole = windows(known.where(long), 1, "template").where(F.col(f"h{WINDOW - 1}").isNotNull())
-    return looked_up(whole, *[f"b{k}" for k in range(BANDS)], key="template").unionByName(looked_up(windows(known.where(~long), 1, "template"), "h0", key="template")).distinct()
+    whole = stored(shingled(rows.where(long), 1, WINDOW, "template").where(F.col(f"h{WINDOW - 1}").isNotNull()), "template-windows")
+    return band_rows(whole, "template").unionByName(looked_up(shingled(rows.where(~long), 1, 1, "template"), "h0", key="template")).distinct()
+
+
+def holders(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id of the documents that hold a shingle of the library; every shingle is hashed once."""
+    rows = known.select("template", F.transform("_words", lambda w: F.xxhash64(w)).alias("_words"))
+    library = stored(looked_up(shingled(rows, 1, 1, "template"), "h0", key="template").select("low").distinct(), "library")
+    each = shingled(docs.select("doc_id", word_hashes(F.col("text")).alias("_words")), STRIDE, STRIDE, "doc_id")
+    return looked_up(each, *[f"h{k}" for k in range(STRIDE)], key="doc_id").join(sized(library), "low", "left_semi").select("doc_id").distinct()
 
 
 def candidates_of(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, template of the pairs that meet in a band."""
-    each = windows(docs.select("doc_id", words(F.col("text")).alias("_words")), STRIDE, "doc_id")
-    lows = looked_up(each, *[f"h{k}" for k in range(STRIDE)], *[f"b{k}" for k in range(BANDS)], key="doc_id")
-    return lows.join(sized(template_lows(known)), "low").select("doc_id", "template").distinct()
+    some = stored(holders(docs, known).withColumnRenamed("doc_id", "_id"), "holders")
+    near = docs.join(sized(some), docs["doc_id"].eqNullSafe(some["_id"]), "left_semi").select("doc_id", word_hashes(docs["text"]).alias("_words"))
+    windows = stored(shingled(near, STRIDE, WINDOW, "doc_id"), "windows")
+    lows = looked_up(windows, *[f"h{k}" for k in range(STRIDE)], key="doc_id").unionByName(band_rows(windows, "doc_id"))
+    met = stored(lows.join(sized(stored(template_lows(known), "lows")), "low").select("doc_id", "template").distinct(), "candidates")
+    forget(some, windows)
+    return met
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -153,7 +185,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, contained
     sizes = {r["template"]: r["_words"] for r in known.select("template", "_words").collect()}
     if empty := sorted(t for t, w in sizes.items() if not w):
         raise ValueError(f"templates without words: {', '.join(empty)}")
-    candidates = stored(candidates_of(docs, known), "candidates")
+    candidates = candidates_of(docs, known)
     parts = known.select("template", F.array_distinct(shingle_texts(F.col("_words"))).alias("_parts"))
     parts = parts.select("template", F.size("_parts").cast("long").alias("n_shingles"), F.explode("_parts").alias("_part"))
     wanted = candidates.select(F.col("doc_id").alias("_id")).distinct()
@@ -178,9 +210,11 @@ def sql(templates: dict[str, str] | None = None, contained: float = CONTAINED) -
     cut = r"[x FOR x IN regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
     return f"""
         WITH t AS (SELECT template, {cut.format("body")} AS w FROM (VALUES {rows}) AS v(template, body)),
-        p AS (SELECT template, {shingle} AS parts FROM t),
+        p AS (SELECT template, {shingle} AS parts FROM t WHERE len(w) >= 5),
         tp AS (SELECT template, len(parts)::BIGINT AS n_shingles, unnest(parts) AS part FROM p),
         d AS (SELECT doc_id, {cut.format("text")} AS w FROM documents),
         dp AS (SELECT DISTINCT doc_id, unnest({shingle}) AS part FROM d WHERE len(w) >= 5)
         SELECT doc_id, template, count(*)::BIGINT AS n_found, n_shingles, count(*) / n_shingles AS containment
-        FROM dp JOIN tp USING (part) GROUP BY doc_id, template, n_shingles HAVING count(*) >= {contained} * n_shingles"""
+        FROM dp JOIN tp USING (part) GROUP BY doc_id, template, n_shingles HAVING count(*) >= {contained} * n_shingles
+        UNION ALL SELECT DISTINCT doc_id, template, 1::BIGINT, 1::BIGINT, 1::DOUBLE FROM d, t
+        WHERE len(t.w) < 5 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(t.w, ' ') || ' ')"""

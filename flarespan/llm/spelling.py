@@ -38,6 +38,8 @@ from .common import forget, give_back, small_batches, stored
 
 #: Bytes of text that are cut into words at a time, and distinct words held before they are passed on.
 PIECE, MOST_WORDS = 1 << 20, 200_000
+#: Words of the vocabulary in a part of it.
+PART_WORDS = 20_000
 PRIME = (1 << 127) - 1
 BASE, HOLE = (int.from_bytes(hashlib.sha256(s).digest()[:16], "little") % PRIME for s in (b"base of the words", b"place of the hole"))
 #: Ends a piece: an ASCII character that is in no word.
@@ -98,9 +100,9 @@ def word_counts(docs: DataFrame, least: int = 7, spoil: int = 31) -> DataFrame:
 
 
 def ranked_words(counts: DataFrame) -> DataFrame:
-    """word, n, rank: unique numbers by falling count, then by code points (as UTF-8 bytes)."""
+    """word, n, rank: unique numbers by falling count, then by code points (as UTF-8 bytes); give it a stored table."""
     order = [F.desc("n"), F.asc("word")]
-    return counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
+    return counts.repartitionByRange(max(1, -(-counts.count() // PART_WORDS)), *order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
 
 
 _POWERS = [1]
