@@ -13,7 +13,7 @@ from flarespan.operators import confidence as conf
 from flarespan.operators import estimation as est
 from flarespan.operators import evaluation as ev
 from flarespan.operators import embedding as emb
-from flarespan.operators import graph, slots
+from flarespan.operators import graph, paths, slots
 from flarespan.operators import importance as importance_op
 from flarespan.sources import transactions as src
 from flarespan.sources.lineage import checkpointed
@@ -78,7 +78,9 @@ def vectors(spark, d):
 
 
 def reference(spark, d):
-    return graph.stratified_sample(vectors(spark, d), "label", 200)
+    """A fifth of the rows."""
+    rows = vectors(spark, d)
+    return graph.stratified_sample(rows, "label", max(2, rows.count() // 5))
 
 
 def edges(spark, d):
@@ -257,9 +259,9 @@ QUERIES = {
     "e10_fold_assign": lambda s, d: graph.fold_assign(events(s, d), "label").select("row_id", "fold"),
     "e11_oof_enrich": enriched,
     "e12_edge_reciprocity": lambda s, d: r6(graph.edge_reciprocity(edges(s, d)), "reciprocity"),
-    "e13_path_metrics": lambda s, d: r6(graph.path_metrics(graph.shortest_paths(edges(s, d))), "mean_path"),
-    "e14_strong_components": lambda s, d: graph.strong_components(graph.shortest_paths(edges(s, d)), reference(s, d)),
-    "e15_select_k_ratios": lambda s, d: r6(emb.select_k_ratios(reference(s, d)), "mean_path", "reciprocity", "score"),
+    "e13_path_metrics": lambda s, d: r6(paths.path_metrics(edges(s, d)), "mean_path"),
+    "e14_strong_components": lambda s, d: paths.strong_components(edges(s, d), reference(s, d)),
+    "e15_select_k_ratios": lambda s, d: r6(emb.select_k_ratios(graph.stratified_sample(vectors(s, d), "label", 500)), "mean_path", "reciprocity", "score"),
     "f1_similarity": lambda s, d: r6(conf.similarity_to_frauds(inside(s, d), ["va", "vb"]), "similarity"),
     "f2_confidence": lambda s, d: r6(sure(inside(s, d)).drop("similarity"), "confidence"),
     "f3_high_confidence": lambda s, d: high(inside(s, d)).select("row_id", "lifetime_id"),

@@ -121,8 +121,9 @@ IMP = "ph AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, stddev_pop({sign
 
 VEC = """v AS (SELECT vec_id AS row_id, label % 2 AS label, embedding::DOUBLE[] AS x FROM embeddings),
 cn AS (SELECT label, count(*) AS c, sum(count(*)) OVER () AS n, count(*) OVER () AS k, row_number() OVER (ORDER BY count(*) DESC, label) AS big FROM v GROUP BY 1),
-q0 AS (SELECT *, CASE WHEN n <= 200 THEN c ELSE greatest(floor(200 * c / n + 0.5), least(c, 200 // (2 * k))) END AS q FROM cn),
-qt AS (SELECT label, CASE WHEN big = 1 AND n > 200 THEN q + 200 - sum(q) OVER () ELSE q END AS q FROM q0),
+sz AS (SELECT *, greatest(2, n // 5) AS size FROM cn),
+q0 AS (SELECT *, CASE WHEN n <= size THEN c ELSE greatest(round_even(size * c / n, 0), least(c, size // (2 * k))) END AS q FROM sz),
+qt AS (SELECT label, CASE WHEN big = 1 AND n > size THEN q + size - sum(q) OVER () ELSE q END AS q FROM q0),
 rf AS (SELECT row_id, label, x FROM (SELECT v.*, q, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || row_id), row_id) AS r FROM v JOIN qt USING (label)) WHERE r <= q),
 nn AS (SELECT a.row_id AS src, b.row_id AS dst, CASE WHEN a.label = b.label THEN 1 ELSE -1 END AS sign, list_distance(a.x, b.x) AS distance FROM rf a JOIN rf b ON a.row_id <> b.row_id),
 nk AS (SELECT *, row_number() OVER p AS r, count(*) OVER (PARTITION BY src, sign) AS m FROM nn WINDOW p AS (PARTITION BY src, sign ORDER BY distance, dst)),

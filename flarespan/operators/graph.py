@@ -1,14 +1,11 @@
-"""Samples, folds, signed nearest-neighbour graphs on a capped reference, and their measures."""
+"""Samples, folds, signed nearest-neighbour graphs and their measures."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flarespan.sources.lineage import checkpointed
-
-MOST_REFERENCE = 2_000
+from flarespan.operators.neighbours import signed_neighbours
 
 
 def hashed(key: str, seed: int) -> Column:
@@ -48,57 +45,25 @@ def neighbours(r: float, m: int) -> int:
     return min(m, max(2, round(r * m)))
 
 
-def distances(q: np.ndarray, xs: np.ndarray, p: float) -> np.ndarray:
-    out = np.zeros((len(q), len(xs)))
-    for a, b in zip(q.T, xs.T, strict=True):
-        out += np.abs(a[:, None] - b[None]) ** p
-    return out ** (1 / p)
-
-
-def signed_edges(d: np.ndarray, labels: np.ndarray, ys: np.ndarray, r_pos: float, r_neg: float):
-    """(row, column, sign, distance) of the nearest of the own class and of the others; infinite distances are no edges, ties go to the first column."""
-    out = []
-    for c in np.unique(labels):
-        mine = np.flatnonzero(labels == c)
-        same = int((ys == c).sum())
-        for sign, there, k in ((1, ys == c, neighbours(r_pos, max(same - 1, 0))), (-1, ys != c, neighbours(r_neg, len(ys) - same))):
-            here = np.where(there, d[mine], np.inf)
-            at = np.argsort(here, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(here, at, 1)
-            ok = np.isfinite(near)
-            out.append((np.repeat(mine, at.shape[1])[ok.ravel()], at[ok], np.full(int(ok.sum()), sign), near[ok]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def class_counts(rows: DataFrame, y: str = "label") -> dict[int, int]:
+    """Rows of each class; one for each class comes to the driver."""
+    return {r.c: r.n for r in rows.groupBy(F.col(y).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def arrays(ref: DataFrame, key: str, y: str, vector: str, cap: int = MOST_REFERENCE):
-    """(ids, labels, matrix) of a reference of a checked size, by id."""
-    rows = ref.select(F.col(key).cast("long").alias("i"), F.col(y).cast("int").alias("c"), F.col(vector).alias("x")).orderBy("i").limit(cap + 1).toPandas()
-    if len(rows) > cap:
-        raise ValueError(f"the reference has more than {cap} rows")
-    return rows["i"].to_numpy(), rows["c"].to_numpy(), np.array(rows["x"].tolist(), float).reshape(len(rows), -1)
-
-
-def signed_knn_edges(ref: DataFrame, r_pos: float, r_neg: float, p: float = 3.0, key: str = "row_id", y: str = "label", vector: str = "x", cap: int = MOST_REFERENCE) -> DataFrame:
-    """(src, dst, sign, distance): nearest of the own class with +, of the others with -; ties by id.
+def quota_of(counts: dict[int, int], r_pos: float, r_neg: float) -> dict[int, tuple[int, int]]:
+    """Neighbours of the own class and of the others, for each class of the reference."""
+    n = sum(counts.values())
+    return {c: (neighbours(r_pos, max(m - 1, 0)), neighbours(r_neg, n - m)) for c, m in counts.items()}
 
-    The reference has at most ``cap`` rows (an error otherwise), so it can be sent to every task.
-    """
-    shared = ref.sparkSession.sparkContext.broadcast(arrays(ref, key, y, vector, cap))
 
-    def task(batches):
-        import pandas as pd
+def vectors_of(rows: DataFrame, key: str, c: Column, vector: str) -> DataFrame:
+    return rows.select(F.col(key).cast("long").alias("id"), c.cast("int").alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
 
-        ids, ys, xs = shared.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part = pdf.iloc[lo : lo + 1024]
-                d = distances(np.array(part["x"].tolist(), float), xs, p)
-                d[part["id"].to_numpy()[:, None] == ids] = np.inf
-                row, col, sign, far = signed_edges(d, part["c"].to_numpy(), ys, r_pos, r_neg)
-                yield pd.DataFrame({"src": part["id"].to_numpy()[row], "dst": ids[col], "sign": sign, "distance": far})
 
-    source = ref.select(F.col(key).cast("long").alias("id"), F.col(y).cast("int").alias("c"), F.col(vector).alias("x"))
-    return source.mapInPandas(task, "src bigint, dst bigint, sign int, distance double")
+def signed_knn_edges(ref: DataFrame, r_pos: float, r_neg: float, p: float = 3.0, key: str = "row_id", y: str = "label", vector: str = "x", cell_rows: int | None = None) -> DataFrame:
+    """(src, dst, sign, distance): nearest of the own class with +, of the others with -; ties by id.  A reference of any size."""
+    rows = vectors_of(ref, key, F.col(y), vector)
+    return signed_neighbours(rows, rows, quota_of(class_counts(ref, y), r_pos, r_neg), p, itself=True, cell_rows=cell_rows)
 
 
 def edge_weights(edges: DataFrame) -> DataFrame:
@@ -147,31 +112,6 @@ def edge_reciprocity(edges: DataFrame) -> DataFrame:
     return e.join(back, ["src", "dst"], "left").agg(F.coalesce(F.try_divide(F.sum(F.coalesce("hit", F.lit(0))), F.count(F.lit(1))), F.lit(0.0)).alias("reciprocity"))
 
 
-def shortest_paths(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(src, dst, hops) of all ordered pairs that can be reached, by frontier joins; for the capped reference graph."""
-    e = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
-    seen = frontier = checkpointed(e.withColumn("hops", F.lit(1)))
-    for hops in range(2, most + 1):
-        step = frontier.select("src", F.col("dst").alias("mid")).join(e.withColumnRenamed("src", "mid"), "mid").where("src <> dst").select("src", "dst").distinct()
-        frontier = checkpointed(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError("paths are longer than allowed")
-
-
-def path_metrics(paths: DataFrame) -> DataFrame:
-    """Diameter, mean path length, reachable ordered pairs; zeros without pairs."""
-    return paths.agg(F.coalesce(F.max("hops"), F.lit(0)).alias("diameter"), F.coalesce(F.avg("hops"), F.lit(0.0)).alias("mean_path"), F.count(F.lit(1)).alias("pairs"))
-
-
-def strong_components(paths: DataFrame, nodes: DataFrame, key: str = "row_id") -> DataFrame:
-    """(node, component): smallest node that is reached and reaches back."""
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = paths.select("src", "dst").join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    return nodes.select(F.col(key).alias("node")).join(both, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))
-
-
 def project(vector: Column, out_dim: int) -> Column:
     """Place i goes to group i mod out_dim; the mean of each group."""
     at = F.sequence(F.lit(0), F.lit(out_dim - 1))

@@ -121,12 +121,6 @@ def test_net_gradient_and_loss():
     assert losses[-1] < losses[0]
 
 
-def test_graph_measures_by_hand():
-    ring = np.roll(np.eye(4, dtype=bool), 1, axis=1)
-    assert embedding.measures(ring) == (3.0, 2.0, 12.0, 0.0)
-    assert embedding.measures(np.zeros((3, 3), bool)) == (0.0, 0.0, 0.0, 0.0)
-
-
 def enrich_input(spark, flip):
     rows = []
     for i in range(120):
