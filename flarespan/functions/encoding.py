@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flarespan.config import Level, Roles
+from flarespan.sources.lineage import checkpointed
 
 UNKNOWN = "__unknown__"
 
@@ -61,24 +62,51 @@ class Encoder:
     stats: dict[str, dict[str, tuple[float, float, float]]]
 
 
-#: Slices of a column's range in which its median is looked for.
-SLICES = 1024
+#: Values that are ranked at once to find a median; of more, a sketch finds the few around it first.
+MOST_RANKED = 100_000
+#: Accuracy of that sketch, and how far from the middle its bounds are put for it.
+ACCURACY, MARGIN = 1_000, 0.004
 
 
-def medians(long: DataFrame) -> DataFrame:
-    """(feature, median) of (feature, x), exact: only the values of the slice of the range that holds it are ranked, each once with its number."""
-    each = long.where("x IS NOT NULL").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    ends = each.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all_n"))
-    at = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * (SLICES - 1)), F.lit(0))
-    each = each.join(F.broadcast(ends), "feature").withColumn("slice", at)  # one row for each column
-    before = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    totals = each.groupBy("feature", "slice", "all_n").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(before))
-    low, high = F.floor((F.col("all_n") + 1) / 2), F.ceil((F.col("all_n") + 1) / 2)  # ranks of the two middle values
-    middle = totals.where((F.col("upto") >= low) & (F.col("upto") - F.col("n") < high)).select("feature", "slice", (F.col("upto") - F.col("n")).alias("start"))
-    run = Window.partitionBy("feature", "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    near = each.join(F.broadcast(middle), ["feature", "slice"]).withColumn("upto", F.col("start") + F.sum("n").over(run))  # two slices of each column
-    has = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("x")))
-    return near.groupBy("feature").agg(((has(low) + has(high)) / 2).alias("median"))
+def medians(rows: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """The exact median of each column without nulls; None where there is nothing.  Give it a checkpointed table.
+
+    Mergeable quantile sketches give bounds on both sides of the middle, and a pass counts the values below and between.
+    The values between are sketched again until they are few, or nearly all are equal; then only they are ranked, each once
+    with its number.  So no task sorts a column, whatever its distribution.
+    """
+    n = dict(zip(names, rows.agg(*[F.count(c) for c in names]).first(), strict=True))
+    rank = {c: ((k + 1) // 2, k // 2 + 1) for c, k in n.items()}  # of the two middle values
+    state = {c: (float("-inf"), float("inf"), 0, k) for c, k in n.items() if k}
+    todo = [c for c in state if n[c] > MOST_RANKED]
+    between = lambda c, lo, hi: F.col(c).between(F.lit(lo), F.lit(hi))
+    while todo:
+        aggs = []
+        for c in todo:
+            lo, hi, below, inside = state[c]
+            ends = [max(0.0, (rank[c][0] - below) / inside - MARGIN), min(1.0, (rank[c][1] - below) / inside + MARGIN)]
+            aggs.append(F.percentile_approx(F.when(between(c, lo, hi), F.col(c)), ends, ACCURACY))
+        bounds = dict(zip(todo, rows.agg(*aggs).first(), strict=True))
+        counts = rows.agg(*[x for c in todo for x in (F.count_if(F.col(c) < bounds[c][0]), F.count_if(between(c, *bounds[c])))]).first()
+        again = []
+        for i, c in enumerate(todo):
+            below, inside = counts[2 * i : 2 * i + 2]
+            if below < rank[c][0] and below + inside >= rank[c][1]:
+                if MOST_RANKED < inside < state[c][3] / 2:
+                    again.append(c)
+                state[c] = (*bounds[c], below, inside)
+        todo = again
+    if not state:
+        return dict.fromkeys(names)
+    spark = rows.sparkSession
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.when(between(c, *state[c][:2]), F.col(c)).alias("x")) for c in state]))
+    each = rows.select(each).where("x IS NOT NULL").groupBy("name", "x").agg(F.count(F.lit(1)).alias("n"))
+    start = spark.createDataFrame([(c, x[2], *rank[c]) for c, x in state.items()], "name string, start bigint, low bigint, high bigint")
+    run = Window.partitionBy("name").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = each.join(F.broadcast(start), "name").withColumn("upto", F.col("start") + F.sum("n").over(run))  # a row for each column
+    has = lambda r: F.max(F.when((F.col("upto") >= F.col(r)) & (F.col("upto") - F.col("n") < F.col(r)), F.col("x")))
+    found = near.groupBy("name").agg(((has("low") + has("high")) / 2).alias("median")).collect()
+    return dict.fromkeys(names) | {r.name: r["median"] for r in found}
 
 
 def fit_stats(t: DataFrame, roles: Roles, exact: bool = True) -> DataFrame:
@@ -87,13 +115,20 @@ def fit_stats(t: DataFrame, roles: Roles, exact: bool = True) -> DataFrame:
     ``exact=False`` uses approximate medians.
     """
     cols = [(name, c, x) for name, level in roles.levels.items() for c, x in numeric_columns(name, level, roles).items()]
-    each = F.inline(F.array(*[F.struct(F.lit(f"{n}.{c}").alias("feature"), F.lit(n).alias("level"), F.lit(c).alias("name"), x.alias("x")) for n, c, x in cols]))
-    long = t.select(each)
-    ends = long.groupBy("feature", "level", "name").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count_if(F.col("x").isNull()).alias("nulls"))
-    mids = medians(long) if exact else long.groupBy("feature").agg(F.approx_percentile("x", 0.5, 10_000).alias("median"))
-    both = ends.join(F.broadcast(mids), "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))  # one row for each column
-    filled = lambda f, x: F.when(F.col("nulls") > 0, f(F.coalesce(F.col(x), F.col("median")), F.col("median"))).otherwise(F.col(x))
-    return both.select("level", F.col("name").alias("feature"), "median", filled(F.least, "low").alias("least"), filled(F.greatest, "high").alias("most"))
+    names = [f"x{i}" for i in range(len(cols))]
+    rows = checkpointed(t.select(*[x.alias(n) for n, (_, _, x) in zip(names, cols, strict=True)]))
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max, F.count)]).first()
+    if exact:
+        mids = medians(rows, names)
+    else:
+        mids = dict(zip(names, rows.agg(*[F.percentile_approx(n, 0.5, 10_000) for n in names]).first(), strict=True))
+    out = []
+    for n, (level, feature, _) in zip(names, cols, strict=True):
+        median, least, most = mids[n] or 0.0, ends[f"min_{n}"], ends[f"max_{n}"]
+        if ends[f"count_{n}"] < ends.n:
+            least, most = min(median, median if least is None else least), max(median, median if most is None else most)
+        out.append((level, feature, float(median), least, most))
+    return t.sparkSession.createDataFrame(out, "level string, feature string, median double, least double, most double")
 
 
 def fit_encoder(t: DataFrame, roles: Roles, exact: bool = True) -> Encoder:

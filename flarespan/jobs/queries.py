@@ -212,10 +212,10 @@ def job_update(spark, d) -> DataFrame:
 
 
 def importance_inside(spark, d) -> DataFrame:
-    """Mean absolute Shapley values over the rows inside lifetimes."""
+    """Mean absolute Shapley values over the rows inside lifetimes, of 100 trees of depth 7."""
     rows = checkpointed(encoded(spark, d).select("row_id", "ts", "label", F.col("v_original").alias("features")))
     there = slots.assign_lifetime(rows, slots.lifetimes(stats(spark, d))).where("lifetime_id >= 0")
-    return r6(importance_op.mean_abs_shap(rows, there, rows.select(F.size("features").alias("n")).first().n, depth=4, trees=15), "phi")
+    return r6(importance_op.mean_abs_shap(rows, there, rows.select(F.size("features").alias("n")).first().n), "phi")
 
 
 QUERIES = {

@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in spark.checkpoint.dir.  Where that is unset, a local session takes a folder of its own; a cluster has none to take."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder below spark.checkpoint.dir.  Where that is unset, a local session takes one of its own; a cluster has none to take."""
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
@@ -18,4 +17,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

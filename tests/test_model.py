@@ -29,7 +29,7 @@ def numbers(spark):
 def test_shapley_values_equal_all_coalitions(numbers):
     x, y, df = numbers
     model = importance.fit_trees(df, depth=3, trees=3)
-    leaves = importance.leaves_of(model)
+    leaves = importance.leaves_of(model, df.sparkSession)
 
     def worth(row, known):
         return sum(v * math.prod((lo < row[f] <= hi) if f in known else share for f, lo, hi, share in path) for v, path in leaves)
@@ -51,7 +51,7 @@ def test_importance_is_zero_without_rows_or_classes(numbers):
     settings = {"depth": 3, "trees": 2}
     assert [r.phi for r in importance.mean_abs_shap(df, df.where("false"), 4, **settings).collect()] == [0.0] * 4
     assert [r.phi for r in importance.mean_abs_shap(df.where("label = 1"), df, 4, **settings).collect()] == [0.0] * 4
-    leaves = importance.leaves_of(importance.fit_trees(df, **settings))
+    leaves = importance.leaves_of(importance.fit_trees(df, **settings), df.sparkSession)
     want = np.abs(importance.shap_values(x[y == 1], leaves)).mean(0)
     got = importance.mean_abs_shap(df, df.where("label = 1"), 4, **settings).orderBy("feature").collect()
     assert np.allclose([r.phi for r in got], want)
@@ -62,12 +62,48 @@ def test_quotas_round_half_to_even():
     assert graph.quotas({0: 25, 1: 75}, 50) == {0: 12, 1: 38}
 
 
-def test_medians_are_exact(spark):
+def columns_of(spark, columns):
+    n = max(map(len, columns.values()))
+    rows = list(zip(*[[*c, *[None] * (n - len(c))] for c in columns.values()], strict=True))
+    return spark.createDataFrame(rows, ", ".join(f"{k} double" for k in columns)).repartition(3)
+
+
+@pytest.mark.parametrize("most", [100_000, 20, 2])
+def test_medians_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(enc, "MOST_RANKED", most)
     rng = random.Random(1)
-    columns = {"even": [rng.gauss(0, 1) for _ in range(500)], "odd": [1.0, 5.0, 2.0], "same": [3.0] * 9, "far": [0.0] * 5 + [1e9], "two": [1.0, 1.0, 4.0, 4.0], "none": [None]}
-    rows = [(k, v) for k, c in columns.items() for v in c]
-    got = {r.feature: r["median"] for r in enc.medians(spark.createDataFrame(rows, "feature string, x double")).collect()}
-    assert got == {k: float(np.median(c)) for k, c in columns.items() if k != "none"}
+    columns = {
+        "even": [rng.gauss(0, 1) for _ in range(3000)], "odd": [1.0, 5.0, 2.0], "same": [3.0] * 90, "far": [rng.random() for _ in range(2001)] + [1e9], "two": [1.0] * 50 + [4.0] * 50,
+        "heavy": [7.0] * 1000 + [rng.random() * 14 for _ in range(1500)], "tail": [math.exp(rng.gauss(0, 6)) for _ in range(999)], "none": [None], "one": [2.0],
+    }
+    got = enc.medians(columns_of(spark, columns), list(columns))
+    assert got == {k: float(np.median(c)) if k != "none" else None for k, c in columns.items()}
+
+
+def test_few_values_are_ranked_whatever_the_distribution(spark, monkeypatch):
+    """One value of 1e9 among 20,000 small ones."""
+    monkeypatch.setattr(enc, "MOST_RANKED", 500)
+    monkeypatch.setattr(enc, "ACCURACY", 1000)
+    seen = []
+    plain = spark.__class__.createDataFrame
+    monkeypatch.setattr(spark.__class__, "createDataFrame", lambda self, rows, *a: seen.append(rows) or plain(self, rows, *a))
+    rows = spark.range(20_001).selectExpr("IF(id = 0, 1e9, CAST(id % 9973 AS DOUBLE)) AS x")
+    want = float(np.median([1e9, *[i % 9973 for i in range(1, 20_001)]]))
+    assert enc.medians(rows, ["x"]) == {"x": want}
+    start = seen[-1][0][1]
+    assert start > 9_500  # all values below the bounds are only counted
+
+
+def test_scores_are_dealt_evenly_whatever_the_distribution(spark):
+    rows = spark.range(4000).selectExpr("id AS row_id", "CAST(id % 3 = 0 AS INT) AS label", "IF(id = 0, 1e9, CAST(id AS DOUBLE) / 4000) AS score")
+    c = evaluation.cumulative(rows).orderBy("up_n").collect()
+    assert [r.up_n for r in c] == list(range(1, 4001)) and c[-1].up_pos == c[0].all_pos == 1334
+    y, n, hit = [r.pos for r in c], 0, 0
+    ap = 0.0
+    for x in y:
+        n, hit = n + 1, hit + x
+        ap += x / 1334 * hit / n
+    assert abs(evaluation.average_precision(rows).first()[0] - ap) < 1e-12
 
 
 def test_fraud_means_and_possibility_equal_loops(spark):
