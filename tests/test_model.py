@@ -132,6 +132,24 @@ def test_fraud_means_and_possibility_equal_loops(spark):
     assert {r.row_id for r in raw} == fps.keys() and all(abs(r.fps - fps[r.row_id]) < 1e-9 for r in raw)
 
 
+def test_fraud_means_of_one_long_lifetime(spark):
+    """Parts of a lifetime: frauds of many parts, some at the same time, some far from all others."""
+    rng = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, i % 50 == 0, t0 + dt.timedelta(seconds=rng.choice([60, 7, 1]) * rng.randrange(3000)), [rng.random(), float(i % 3)]) for i in range(400)]
+    rows = [(i, int(odd), t, v) for i, odd, t, v in rows]
+    df = spark.createDataFrame(rows, "row_id long, lifetime_id int, ts timestamp_ntz, v array<double>").repartition(5)
+    got = {r.j: r.w for r in confidence.windowed_fraud_means(df, "v").collect()}
+    assert len(got) == 400
+    for j, life, t, _ in rows[::9]:
+        total = np.zeros(2)
+        for g in range(-15, 16):
+            a, b = sorted((t, t + dt.timedelta(minutes=g)))
+            total += np.mean([r[3] for r in rows if r[1] == life and a <= r[2] <= b], axis=0)
+        assert np.allclose(got[j], total)
+    assert confidence.windowed_fraud_means(df.where("false"), "v").collect() == []
+
+
 def test_ranking_of_equal_scores(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0), 0.5) for i in range(200)], "row_id long, label int, score double")
     assert [r.row_id for r in evaluation.top_percent(df, 5).where("flagged = 1").orderBy("row_id").collect()] == list(range(10))
