@@ -167,15 +167,34 @@ def enriched(spark, d) -> DataFrame:
     return emb.oof_enrich(rows, "v_transaction", frequency=FR).select("row_id", "fold", F.round(F.sqrt(enc.dot(F.col("fused"), F.col("fused"))), 6).alias("length"))
 
 
-def detected(spark, d) -> DataFrame:
-    """A detector of the first weeks scores the last one."""
-    rows = checkpointed(encoded(spark, d).select("row_id", "ts", "amount", F.col("label").alias("target"), F.lit(1.0).alias("weight"), F.col("v_original").alias("features")))
+def soft_rows(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first weeks with soft labels (features, target, weight), the last one, and the lifetimes of the first."""
+    rows = checkpointed(encoded(spark, d).select("row_id", "ts", "amount", "label", F.col("v_original").alias("features")))
     train, test = src.temporal_split(rows, SPLIT)
-    s = est.fraud_scores(test, est.fit_detector(train))
+    found = checkpointed(slots.lifetimes(slots.stats_of(train, I, FR)))
+    there = checkpointed(enc.scale_views(slots.assign_lifetime(train, found), ["features"]).where("lifetime_id >= 0"))
+    sure_rows = conf.high_confidence(conf.confidence(conf.similarity_to_frauds(there, ["features"])), there, 1)
+    possible = conf.fraud_possibility(conf.possibility_raw(there, conf.remaining(there, checkpointed(sure_rows)), ["features"]))
+    soft = conf.weighted_training_set(train, checkpointed(possible.select("row_id", "p")))
+    return checkpointed(soft.join(train.select("row_id", "features"), "row_id")), test, found
+
+
+def detected(spark, d, estimator=None) -> DataFrame:
+    """A detector of the first weeks, with soft labels, scores the last one."""
+    train, test, _ = soft_rows(spark, d)
+    s = est.fraud_scores(test, est.fit_detector(train, estimator))
     out = est.predictions(slots.adjust_scores(s, slots.lifetimes(stats(spark, d))))
     return r6(out.select("row_id", "p_normal", "p_fraud"), "p_normal", "p_fraud")
 
 
+def neighbour_counts(spark, d) -> DataFrame:
+    """Neighbours of the own class and of the others, for each class of the vectors and each candidate ratio."""
+    sizes = vectors(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("c").alias("n"))))  # one row
+    each = sizes.withColumn("ratio", F.explode(F.array(*map(F.lit, emb.RATIOS))))
+    return each.select("label", "ratio", graph.k_from_ratio(F.col("ratio"), F.col("c") - 1).alias("k_pos"), graph.k_from_ratio(F.col("ratio"), F.col("n") - F.col("c")).alias("k_neg"))
+
+
 def slot_rows(spark, d) -> DataFrame:
     """Standardised slot features with whether the slot is active."""
     f = feature_slots(spark, d)
@@ -245,7 +264,7 @@ QUERIES = {
     "d5_fuse": lambda s, d: places(views(s, d).select("row_id", graph.fuse(F.col("va"), F.col("vb")).alias("v")), "v"),
     "d6_final_features": lambda s, d: places(views(s, d).select("row_id", F.concat("va", "vb", graph.fuse(F.col("va"), F.col("vb"))).alias("v")), "v"),
     "e1_stratified_sample": lambda s, d: reference(s, d).select("row_id", "label"),
-    "e2_k_from_ratio": lambda s, d: vectors(s, d).select("row_id", graph.k_from_ratio(F.col("row_id") % 10 / 8, F.col("row_id") % 37).alias("k")),
+    "e2_k_from_ratio": neighbour_counts,
     "e3_signed_knn_edges": lambda s, d: r6(edges(s, d), "distance"),
     "e4_edge_weights": lambda s, d: r6(graph.edge_weights(edges(s, d)).select("src", "dst", "weight"), "weight"),
     "e5_vote_label": lambda s, d: graph.vote_label(edges(s, d), reference(s, d), 3),
@@ -273,6 +292,7 @@ QUERIES = {
     "f9_fraud_possibility": lambda s, d: r6(conf.fraud_possibility(raw_possibility(inside(s, d))).select("row_id", "p"), "p"),
     "f10_weighted_training_set": lambda s, d: r6(conf.weighted_training_set(events(s, d), conf.fraud_possibility(raw_possibility(inside(s, d)))), "weight"),
     "g1_g2_g10_detect": detected,
+    "g1_kernel_machine": lambda s, d: detected(s, d, "svm"),
     "g3_standardize_slots": lambda s, d: r6(est.standardize_slots(stats(s, d).select("slot", "intensity", "frequency"), ["intensity", "frequency"]), "intensity", "frequency"),
     "g4_stratified_bootstrap": lambda s, d: est.stratified_bootstrap(stats(s, d).select("slot", "active"), "active", "slot", 1),
     "g5_g6_estimate_lifetimes": estimated,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from flarespan.config import EVENT_ROLES as ROLES
+from flarespan.operators.embedding import RATIOS
 
 E = """e AS (SELECT event_id AS row_id, ts, value AS amount, (event_type = 'error')::INT AS label, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)"""
 TX = """t0 AS (
@@ -200,7 +201,8 @@ SELECT src, dst, sign, round(distance, 6) AS distance FROM rk JOIN kk ON kk.labe
     "d3_level_weights": f"{BASE}, {TX}, {IMP} SELECT feature, round(phi * (0.3 * (SELECT coalesce(avg(rel_intensity) FILTER (active), 0) FROM s) + 0.7 * (SELECT coalesce(avg(rel_frequency) FILTER (active), 0) FROM s)), 6) AS weight FROM mm",
     "d4_project": "WITH u AS (SELECT vec_id AS row_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT row_id, (i % 24)::INT AS place, round(avg(v), 6) AS v FROM u GROUP BY ALL",
     "e1_stratified_sample": f"WITH {VEC} SELECT row_id, label FROM rf",
-    "e2_k_from_ratio": "SELECT vec_id AS row_id, least(vec_id % 37, greatest(2, round_even(vec_id % 10 / 8 * (vec_id % 37), 0)))::BIGINT AS k FROM embeddings",
+    "e2_k_from_ratio": f"""WITH {VEC}, ra AS (SELECT unnest({list(RATIOS)})::DOUBLE AS ratio)
+        SELECT label, ratio, least(c - 1, greatest(2, round_even(ratio * (c - 1), 0)))::BIGINT AS k_pos, least(n - c, greatest(2, round_even(ratio * (n - c), 0)))::BIGINT AS k_neg FROM cn, ra""",
     "e3_signed_knn_edges": f"WITH {VEC} SELECT src, dst, sign, round(distance, 6) AS distance FROM ed",
     "e4_edge_weights": f"WITH {VEC} SELECT src, dst, round(weight, 6) AS weight FROM ew",
     "e5_vote_label": f"WITH {VEC}, vo AS (SELECT src, label, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r FROM ed) JOIN rf ON dst = row_id WHERE r <= 3 GROUP BY ALL) SELECT src, arg_max(label, (n, -label)) AS vote FROM vo GROUP BY 1",
