@@ -25,14 +25,11 @@ def quotas(counts: dict, size: int) -> dict:
 
 
 def stratified_sample(df: DataFrame, y: str, size: int, key: str = "row_id", seed: int = 0) -> DataFrame:
-    """Exact class quotas in hash order.  Class counts come to the driver; a rank inside 64 slices of the order comes first, so a class is not sorted in one task."""
+    """Exact class quotas in hash order, of any size.  Class counts come to the driver; ranks come from ``class_rank``, so no class is sorted in one task."""
     counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
     quota = quotas(counts, size)
     limit = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])[F.col(y)] if quota else F.lit(0)
-    rows = df.withColumn("_h", hashed(key, seed)).withColumn("_q", limit)
-    order = ("_h", key)
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(y, F.substring("_h", 1, 2)).orderBy(*order))).where("_r <= _q")
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(y).orderBy(*order))).where("_r <= _q").drop("_h", "_q", "_r")
+    return class_rank(df, [y], key, seed).where(F.col("_rank") < limit).select(*df.columns)
 
 
 def k_from_ratio(r: Column, m: Column) -> Column:
