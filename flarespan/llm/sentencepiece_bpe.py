@@ -7,7 +7,9 @@ the check replays those, latest first.  Where no piece fits,
 the last one is taken back and its end position is marked as failed in a bitfield, so every
 position fails at most once.  The result is the same as that of merging by score.
 
-A null or empty text has no tokens and decodes to an empty text.
+A null or empty text has no tokens and decodes to an empty text.  Long texts are encoded whole, segment by segment; a
+segment without a space or mark to cut at is one however long it is, in time linear in its length.  Ties of equal scores go
+to the leftmost merge, as in the library.  Equal texts have equal results; repeated rows are each encoded; a null doc_id stays.
 """
 
 from __future__ import annotations
@@ -48,17 +50,33 @@ def read_model(path: str) -> dict:
 
 
 class Segments(dict):
-    """Segment to number of ids, ids joined by commas, and bytes decoded from the ids.  Forgets everything when full."""
+    """Segment to number of ids, ids joined by commas, and bytes decoded from the ids.
+
+    Short segments are kept in two generations of half of CACHE: when the young one is full it becomes the old one, whose
+    segments move back as they are met again, so frequent ones are never encoded anew.
+    """
 
     def __init__(self, encoder: "Encoder") -> None:
         super().__init__()
-        self.encoder, self.decoder = encoder, Decoder(encoder.model)
+        self.encoder, self.old = encoder, {}
+        raws = Decoder(encoder.model).raws
+        #: Piece to its id as text and the bytes that this id decodes to.
+        self.pieces = {p: (str(i), raws[i]) for p, (i, _) in encoder.pieces.items()}
+        self.spelt = {b: (str(i), raws[i]) for b, i in encoder.byte_ids.items()}
+
+    def encoded(self, text: str) -> tuple[int, str, bytes]:
+        parts = self.encoder.split(text)
+        try:
+            ids, raws = zip(*map(self.pieces.__getitem__, parts), strict=True)
+        except KeyError:  # a character that is no piece
+            ids, raws = zip(*[x for p in parts for x in ([self.pieces[p]] if p in self.pieces else map(self.spelt.__getitem__, p.encode("utf-8")))], strict=True)
+        return len(ids), ",".join(ids), b"".join(raws)
 
     def __missing__(self, text: str) -> tuple[int, str, bytes]:
-        ids = self.encoder.ids(text)
-        found = (len(ids), ",".join(map(str, ids)), self.decoder.raw(ids))
+        found = self.old.get(text) or self.encoded(text)
         if len(text) <= 64:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.old = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -135,15 +153,13 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         """The pieces (or single characters that are none) of a segment."""
         n = len(text)
-        longest = [1] * n
-        for end, size in self.find.iter(text[::-1]):
-            start = n - 1 - end
-            if size > longest[start]:
-                longest[start] = size
+        # matches at a place come longest first; turned round, the longest is the one that stays in the dict
+        longest = dict(list(self.find.iter(text[::-1]))[::-1])
+        size = longest.get
         pairs, shorter = self.pairs, self.shorter
         failed = 0  # bit p: no valid continuation from position p
         out: list[str] = []
-        at, last, token = 0, None, text[: longest[0]]
+        at, last, token = 0, None, text[: size(n - 1, 1)]
         while True:
             end = at + len(token)
             if not failed >> end & 1:
@@ -154,7 +170,7 @@ class Encoder:
                     out.append(token)
                     if end == n:
                         return out
-                    at, last, token = end, token, text[end : end + longest[end]]
+                    at, last, token = end, token, text[end : end + size(n - 1 - end, 1)]
                     continue
             token = shorter.get(token)
             if token is None:
@@ -183,12 +199,8 @@ class Decoder:
     def __init__(self, model: dict) -> None:
         self.text = {i: p.replace(SPACE, " ") for p, (i, _) in model["pieces"].items()}
         self.byte = {i: b for b, i in model["bytes"].items()}
+        #: The bytes of an id, the leading space kept: those of adjacent segments join to those of the whole.
         self.raws = {i: t.encode("utf-8") for i, t in self.text.items()} | {i: bytes([b]) for i, b in self.byte.items()}
-
-    def raw(self, ids: list[int]) -> bytes:
-        """The bytes of the ids, the leading space kept: those of adjacent segments join to those of the whole."""
-        return b"".join([self.raws[i] for i in ids])
-
     def decode(self, ids: list[int]) -> str:
         out, run = [], bytearray()
         for i in ids:
@@ -260,9 +272,10 @@ def _digests(model, raw):
     n_tokens, ids_sha, decoded_sha = [], [], []
     for x in raw:
         parts = list(map(encoder.segments.__getitem__, encoder.cut_up(x.decode("utf-8", "replace"))))
-        n_tokens.append(sum(p[0] for p in parts))
-        ids_sha.append(hashlib.sha256(",".join(p[1] for p in parts).encode()).hexdigest())
-        data = b"".join([p[2] for p in parts]).removeprefix(b" ")
+        sizes, ids, raws = zip(*parts, strict=True) if parts else ((), (), ())
+        n_tokens.append(sum(sizes))
+        ids_sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+        data = b"".join(raws).removeprefix(b" ")
         # runs of bytes are joined across segments; pieces are whole characters, so damage stays inside a run
         decoded_sha.append(hashlib.sha256(data.decode("utf-8", "replace").encode("utf-8")).hexdigest())
     return {"n_tokens": n_tokens, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}
