@@ -58,19 +58,12 @@ class Segments(dict):
 
     def __init__(self, encoder: "Encoder") -> None:
         super().__init__()
-        self.encoder, self.old = encoder, {}
-        raws = Decoder(encoder.model).raws
-        #: Piece to its id as text and the bytes that this id decodes to.
-        self.pieces = {p: (str(i), raws[i]) for p, (i, _) in encoder.pieces.items()}
-        self.spelt = {b: (str(i), raws[i]) for b, i in encoder.byte_ids.items()}
+        self.encoder, self.old, self.raws = encoder, {}, Decoder(encoder.model).raws
+        self.written = {i: str(i) for i in self.raws}
 
     def encoded(self, text: str) -> tuple[int, str, bytes]:
-        parts = self.encoder.split(text)
-        try:
-            ids, raws = zip(*map(self.pieces.__getitem__, parts), strict=True)
-        except KeyError:  # a character that is no piece
-            ids, raws = zip(*[x for p in parts for x in ([self.pieces[p]] if p in self.pieces else map(self.spelt.__getitem__, p.encode("utf-8")))], strict=True)
-        return len(ids), ",".join(ids), b"".join(raws)
+        ids = self.encoder.ids(text)
+        return len(ids), ",".join(map(self.written.__getitem__, ids)), b"".join(map(self.raws.__getitem__, ids))
 
     def __missing__(self, text: str) -> tuple[int, str, bytes]:
         found = self.old.get(text) or self.encoded(text)
