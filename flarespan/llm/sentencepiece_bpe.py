@@ -25,7 +25,7 @@ from .common import map_texts
 
 SPACE = "▁"
 #: Entries kept by each of a task's caches (segments; pairs of pieces).
-CACHE, PAIRS = 120_000, 100_000
+CACHE, PAIRS = 160_000, 100_000
 
 
 def read_model(path: str) -> dict:
@@ -94,14 +94,23 @@ class Encoder:
                 self.find.add_word(p[::-1], len(p))
         self.find.make_automaton()
         # no piece has a space after other characters, so a text falls apart before each run of
-        # spaces; also between such marks and other characters as no piece joins
+        # spaces; also between marks that join no other characters and those; and before a mark
+        # after a character that no piece has before it ("word" and ",")
         beside = {(p[i], p[i + 1]) for p in self.pieces for i in range(len(p) - 1)}
-        marks = set(string.punctuation + "\n")
+        some = string.punctuation + "\n"
+        marks = set(some)
         while joined := {c for pair in beside for c in pair if c in marks and not {*marks, SPACE}.issuperset(pair)}:
             marks -= joined
-        own = re.escape("".join(sorted(marks)))
+        own, every = re.escape("".join(sorted(marks))), re.escape(some)
+        before: dict = {}  # characters that pieces have before a mark, to such marks
+        for m in sorted(set(some) - marks):
+            before.setdefault("".join(sorted(a for a, c in beside if c == m and a != SPACE)), []).append(m)
+        # the mark is looked for first, as most characters are none
+        joins = [(re.escape(chars), re.escape("".join(ms))) for chars, ms in sorted(before.items()) if chars]
+        stay = "|".join(f"[{ms}](?<=[{chars}][{ms}])" for chars, ms in joins)
+        more = f"(?:(?:{stay})[^{SPACE}{every}]*)*" if stay else ""
         apart = f"{SPACE}*[{own}]+|" if marks else ""
-        self.cut = re.compile(rf"{apart}{SPACE}+[^{SPACE}{own}]*|[^{SPACE}{own}]+")
+        self.cut = re.compile(rf"{apart}(?:{SPACE}+[{every}]?|[^{SPACE}{own}])[^{SPACE}{every}]*{more}")
 
     def merge(self, text: str, least: int = 1) -> list[str]:
         """Merge single characters by rank, leftmost on ties, down to ``least`` parts."""
