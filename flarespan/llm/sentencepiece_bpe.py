@@ -108,7 +108,7 @@ class Encoder:
         # the mark is looked for first, as most characters are none
         joins = [(re.escape(chars), re.escape("".join(ms))) for chars, ms in sorted(before.items()) if chars]
         stay = "|".join(f"[{ms}](?<=[{chars}][{ms}])" for chars, ms in joins)
-        more = f"(?:(?:{stay})[^{SPACE}{every}]*)*" if stay else ""
+        more = f"(?:(?:{stay})[^{SPACE}{every}]*)*+" if stay else ""  # possessive: no memory for each mark
         apart = f"{SPACE}*[{own}]+|" if marks else ""
         self.cut = re.compile(rf"{apart}(?:{SPACE}+[{every}]?|[^{SPACE}{own}])[^{SPACE}{every}]*{more}")
 
