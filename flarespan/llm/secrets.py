@@ -9,10 +9,12 @@ marked; the highest score counts.
 Labelled findings come from the corpus: base findings are secrets; so are made-up secrets of several
 kinds, set into places of the texts, and made-up look-alikes (addresses, dates, paths, names) set
 into other places are not.  The corpus's other candidates are taken as no secrets: a secret among
-them makes the network careful, but the threshold is bound by recall on known ones.  A bounded number of findings of
-each of these classes, chosen by hash from all documents, is learnt from.  Scores are calibrated on
-held-back findings (a logistic fit), and the threshold is the largest one that keeps the wanted
-recall on the held-back secrets of either class.  Base findings always stay; the network adds spans.
+them makes the network careful, but the threshold is bound by recall on known ones.  All different
+windows of all documents are learnt from, but for a quarter by hash: they are dealt into blocks by
+hash, and in each round every block trains the network on its own windows from the same parameters,
+whose mean over the blocks is the start of the next round.  Scores are calibrated on all held-back
+windows (a logistic fit), and the threshold is the largest one that keeps the wanted recall on all
+held-back secrets of either class; both need only the counts of the scores, which lie on a grid.  Base findings always stay; the network adds spans.
 
 A null or empty text has no findings.  Long texts are read whole.  Equal texts and repeated rows have
 equal findings.  Without anything to learn from nothing is added.
@@ -26,13 +28,12 @@ import random
 import re
 import string
 import zlib
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import forget, map_texts, small_batches, stored
 
 #: The base patterns, in the order of their kinds, with the least length of what counts.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -48,9 +49,15 @@ WORD = re.compile(r"[^A-Za-z0-9]*(?:[A-Z]?[a-z]+|[A-Z]+)[^A-Za-z0-9]*")
 #: Characters of context on either side, of a window, and between the starts of windows.
 CONTEXT, WINDOW, STRIDE = 24, 64, 32
 EMBED, WIDE, FILTERS = 8, 5, 16
-#: Documented bound: the network learns from at most so many windows of each of the four classes.
+#: Windows of each of the four classes in a quarter of a block's rows; rounds of training with one block; recall that is kept.
 MOST_EACH, EPOCHS, RECALL = 2_500, 8, 0.95
+#: Windows in a block, and rounds of training with many blocks: each window is used in each round.
+BLOCK, ROUNDS = 16 * MOST_EACH, 3
 BATCH = 512
+#: Logits are rounded down to this grid and bounded; parameters are summed as whole numbers of this size, so that the order does not matter.
+GRID, REACH, UNIT = 1 / 1024, 35, 2.0**-24
+#: Parameters that are trained.
+TRAINED = ("E", "W", "c", "v", "d")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -176,61 +183,75 @@ class Net:
             "E": rng.normal(0, 0.5, (193, EMBED)), "W": rng.normal(0, (2 / (WIDE * EMBED)) ** 0.5, (WIDE * EMBED, FILTERS)), "c": np.zeros(FILTERS),
             "v": rng.normal(0, 0.3, FILTERS), "d": np.zeros(1), "platt": np.array([1.0, 0.0]), "limit": np.array([2.0]),
         }
+        self.p |= {k: self.p[k].astype(np.float32) for k in TRAINED}
 
     def forward(self, x: np.ndarray):
-        e = self.p["E"][x]
-        cols = np.lib.stride_tricks.sliding_window_view(e, WIDE, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WINDOW - WIDE + 1, WIDE * EMBED)
-        act = cols @ self.p["W"] + self.p["c"]
+        e = self.p["E"][x].reshape(len(x), WINDOW * EMBED)
+        # the inputs of a place are WIDE embeddings in a row
+        cols = np.lib.stride_tricks.sliding_window_view(e, WIDE * EMBED, axis=1)[:, ::EMBED]
+        act = cols.reshape(-1, WIDE * EMBED) @ self.p["W"]
+        act = act.reshape(len(x), WINDOW - WIDE + 1, FILTERS) + self.p["c"]
         best = act.argmax(1)
         top = np.maximum(np.take_along_axis(act, best[:, None], 1)[:, 0], 0)
         return top @ self.p["v"] + self.p["d"][0], (cols, best, top)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(x[i : i + BATCH])[0] for i in range(0, len(x), BATCH)]) if len(x) else np.empty(0)
+        """Logits on the grid, as whole numbers of steps."""
+        z = np.concatenate([self.forward(x[i : i + BATCH])[0] for i in range(0, len(x), BATCH)]) if len(x) else np.empty(0)
+        return np.floor(np.clip(z.astype(float), -REACH, REACH) / GRID).astype(np.int64)
 
-    def train(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> None:
         rng = np.random.default_rng(seed)
-        names = ("E", "W", "c", "v", "d")
-        m = {k: np.zeros_like(self.p[k]) for k in names}
-        s = {k: np.zeros_like(self.p[k]) for k in names}
-        step = 0
-        for _ in range(EPOCHS):
+        m = {k: np.zeros_like(self.p[k]) for k in TRAINED}
+        s = {k: np.zeros_like(self.p[k]) for k in TRAINED}
+        step, y = 0, y.astype(np.float32)
+        for _ in range(epochs):
             order = rng.permutation(len(x))
             for lo in range(0, len(x), 64):
                 at = order[lo : lo + 64]
                 z, (cols, best, top) = self.forward(x[at])
-                dz = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[at]) / len(at)
+                dz = (1 / (1 + np.exp(-np.clip(z, -REACH, REACH))) - y[at]) / np.float32(len(at))
                 dtop = dz[:, None] * self.p["v"] * (top > 0)
                 rows = np.arange(len(at))[:, None]
                 picked = cols[rows, best]  # example, filter, inputs
                 g = {"v": top.T @ dz, "d": dz.sum(keepdims=True), "c": dtop.sum(0), "W": np.einsum("nfi,nf->if", picked, dtop)}
                 dcol = dtop[:, :, None] * self.p["W"].T[None]
-                places = x[at][rows[:, :, None], best[:, :, None] + np.arange(WIDE)]
-                g["E"] = np.zeros_like(self.p["E"])
-                np.add.at(g["E"], places.ravel(), dcol.reshape(-1, EMBED))
+                places = x[at][rows[:, :, None], best[:, :, None] + np.arange(WIDE)].ravel().astype(np.int64)
+                places = (places[:, None] * EMBED + np.arange(EMBED)).ravel()
+                g["E"] = np.bincount(places, dcol.ravel(), self.p["E"].size).reshape(self.p["E"].shape).astype(np.float32)
                 step += 1
-                for k in names:
+                for k in TRAINED:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
                     self.p[k] -= 0.005 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, group: np.ndarray) -> None:
-        """Logistic fit of label on logit, then the largest threshold with the wanted recall in each group that has secrets."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray, group: np.ndarray, n: np.ndarray) -> None:
+        """Logistic fit of label on logit, then the largest threshold with the wanted recall in each group that has secrets.
+
+        ``n`` is the number of windows that have the logit (in steps of the grid), label and group.
+        """
         if not y.any() or y.all():
             return
-        z, a, b = self.logits(x), 1.0, 0.0
+        a, b, w, u = 1.0, 0.0, n / n.sum(), z * GRID
         for _ in range(200):
-            e = 1 / (1 + np.exp(-np.clip(a * z + b, -35, 35))) - y
-            a -= 0.1 * float(np.mean(e * z)) / (1 + float(np.mean(z * z)))
-            b -= 0.1 * float(e.mean())
+            e = w * (1 / (1 + np.exp(-np.clip(a * u + b, -REACH, REACH))) - y)
+            a -= 0.1 * float(e @ u) / (1 + float(w @ (u * u)))
+            b -= 0.1 * float(e.sum())
         self.p["platt"] = np.array([a, b])
-        p = self.probability(x)
-        limits = [np.sort(p[(y > 0) & (group == k)]) for k in np.unique(group[y > 0])]
-        self.p["limit"] = np.array([min(q[int((1 - RECALL) * len(q))] for q in limits)])
+        p, limits = self.calibrated(z), []
+        for k in np.unique(group[y > 0]):
+            at = np.flatnonzero((y > 0) & (group == k))
+            at = at[np.argsort(p[at], kind="stable")]
+            upto = np.cumsum(n[at])
+            limits.append(p[at][np.searchsorted(upto, int((1 - RECALL) * upto[-1]), "right")])
+        self.p["limit"] = np.array([min(limits)])
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        a, b = self.p["platt"]
+        return 1 / (1 + np.exp(-np.clip(a * (z * GRID) + b, -REACH, REACH)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.p["platt"]
-        return 1 / (1 + np.exp(-np.clip(a * self.logits(x) + b, -35, 35)))
+        return self.calibrated(self.logits(x))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -246,40 +267,126 @@ class Net:
 
 
 def labelled_windows(docs: DataFrame) -> DataFrame:
-    """window, found (1: a secret), class: at most MOST_EACH different windows of each class over all documents, chosen by hash."""
+    """window, found (1: a secret), class: every different window of each class over all documents."""
 
     def run(raw):
-        rows = [r for x in raw if x for r in labelled(x.decode("utf-8", "replace"))]
+        rows = sorted({r for x in raw if x for r in labelled(x.decode("utf-8", "replace"))})
         return {"_row": np.zeros(len(rows), np.int64), "window": [r[0] for r in rows], "found": [r[1] for r in rows], "class": [r[2] for r in rows]}
 
-    every = stored(map_texts(docs.select("text"), run, {"window": "binary", "found": "int", "class": "int"}, ()), "findings")
-    few = [every.where(F.col("class") == k).distinct().orderBy(F.xxhash64("window"), "window").limit(MOST_EACH) for k in range(4)]
-    return reduce(DataFrame.unionByName, few)
+    return map_texts(docs.select("text"), run, {"window": "binary", "found": "int", "class": "int"}, ()).distinct()
+
+
+def held_back(window: bytes) -> bool:
+    """Whether a window is for calibration, by hash: a quarter is."""
+    return hashlib.blake2b(window, digest_size=1).digest()[0] % 4 == 0
+
+
+def arrays(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character codes, found and class of (window, found, class)."""
+    return np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, WINDOW), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+
+
+def counted(net: Net, x: np.ndarray, y: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (logit in steps, found, class) as columns, and how often each is there."""
+    return np.unique(np.stack([net.logits(x), y, group]), axis=1, return_counts=True)
 
 
 def fitted(rows: list[tuple[bytes, int, int]]) -> Net:
-    """A network trained on three quarters of the (window, found, class), by hash, and calibrated on the rest."""
+    """What ``fit`` does, with one block's rows in memory: trained on three quarters of the (window, found, class), by hash, calibrated on the rest."""
     net, rows = Net(), sorted(set(rows))
     if rows:
-        x = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, WINDOW)
-        y, group = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
-        held = np.array([hashlib.blake2b(r[0], digest_size=1).digest()[0] % 4 == 0 for r in rows])
+        (x, y, group), held = arrays(rows), np.array([held_back(r[0]) for r in rows])
         net.train(x[~held], y[~held])
-        net.calibrate(x[held], y[held], group[held])
+        (z, y, group), n = counted(net, x[held], y[held], group[held])
+        net.calibrate(z, y, group, n)
     return net
 
 
-def fit(docs: DataFrame) -> bytes:
-    """The trained and calibrated network, a few KB, fitted in one task on the bounded sample."""
+def in_blocks(windows: DataFrame) -> tuple[DataFrame, int]:
+    """The windows dealt by hash into blocks of about BLOCK, a row for each block and use (``held``), and the number of blocks."""
+    every = stored(windows, "windows")
+    blocks = max(1, -(-every.count() // BLOCK))
+    rows = every.groupBy(F.pmod(F.xxhash64("window"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("window", "found", "class")).alias("rows"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(len(b)):
+                found = sorted((r["window"], r["found"], r["class"]) for r in b.column(1)[i].as_py())
+                for held in (False, True):
+                    part = [r for r in found if held_back(r[0]) == held]
+                    values = [b.column(0)[i].as_py(), held, b"".join(r[0] for r in part), bytes(r[1] for r in part), bytes(r[2] for r in part)]
+                    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "held", "windows", "found", "class"])
+
+    small_batches(windows.sparkSession)
+    packed = stored(rows.mapInArrow(pack, "block long, held boolean, windows binary, found binary, class binary"), "blocks")
+    forget(every)
+    return packed.repartition(blocks, "block"), blocks
+
+
+def unpacked(batch):
+    """Block, character codes, found and class of each row."""
+    for i in range(len(batch)):
+        block, windows, found, group = (batch.column(k)[i].as_py() for k in (0, 2, 3, 4))
+        yield block, np.frombuffer(windows, np.uint8).reshape(-1, WINDOW), np.frombuffer(found, np.uint8).astype(np.int64), np.frombuffer(group, np.uint8).astype(np.int64)
+
+
+def trained_once(blocks: DataFrame, net: Net, number: int) -> Net:
+    """The mean of what the blocks make of the network in one pass over their windows, by their number of windows; a sum comes back from each task."""
+    data = net.dump()
+
+    def task(batches):
+        import pyarrow as pa
+
+        total, rows = 0, 0
+        for batch in batches:
+            for block, x, y, _ in unpacked(batch):
+                own = Net.load(data)
+                own.train(x, y, seed=1_000 * block + number, epochs=1)
+                total = total + len(x) * np.rint(np.concatenate([own.p[k].ravel() for k in TRAINED]) / UNIT).astype(np.int64)
+                rows += len(x)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([total], pa.list_(pa.int64()))], ["n", "total"])
+
+    got = blocks.where("NOT held").mapInArrow(task, "n long, total array<long>").collect()
+    out, n, at = Net.load(data), sum(r.n for r in got), 0
+    if n:
+        mean = sum(np.array(r.total) for r in got) / n * UNIT
+        for k in TRAINED:
+            size = out.p[k].size
+            out.p[k], at = mean[at : at + size].reshape(out.p[k].shape).astype(np.float32), at + size
+    return out
+
+
+def held_counts(blocks: DataFrame, net: Net) -> list:
+    """(z, found, class, n) of all held-back windows: as many rows as the grid has steps at most."""
+    data = net.dump()
 
     def task(batches):
         import pyarrow as pa
 
-        rows = [(r["window"], r["found"], r["class"]) for b in batches for r in b.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([fitted(rows).dump()], pa.binary())], ["net"])
+        own = Net.load(data)
+        for batch in batches:
+            for _, x, y, group in unpacked(batch):
+                keys, n = counted(own, x, y, group)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (*keys, n)], ["z", "found", "class", "n"])
 
-    got = labelled_windows(docs).repartition(1).mapInArrow(task, "net binary").collect()
-    return got[0][0] if got else Net().dump()  # no task runs on a table without rows
+    return blocks.where("held").mapInArrow(task, "z long, found long, class long, n long").groupBy("z", "found", "class").agg(F.sum("n").alias("n")).collect()
+
+
+def fit(docs: DataFrame) -> bytes:
+    """The network, a few KB, trained and calibrated on every labelled window of all documents."""
+    blocks, many = in_blocks(labelled_windows(docs))
+    blocks, net = stored(blocks, "dealt"), Net()
+    for number in range(max(ROUNDS, EPOCHS // many)):
+        net = trained_once(blocks, net, number)
+    counts = sorted(tuple(r) for r in held_counts(blocks, net))
+    if counts:
+        net.calibrate(*np.array(counts, np.int64).T)
+    forget(blocks)
+    return net.dump()
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -97,6 +97,26 @@ def test_network_finds_secrets_of_kinds_it_has_not_seen(rated):
         assert len(right | based) >= 0.9 * len(there) and len(false) <= 0.05 * len(there)
 
 
+def test_network_learns_from_every_window(spark, rated, monkeypatch):
+    texts = [x.decode() for _, x, _, _ in rated if x]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:1600] * 2)], "doc_id long, text string")
+    every = {r for t in texts[:1600] for r in secrets.labelled(t)}
+    assert max(sum(r[2] == k for r in every) for k in range(4)) > secrets.MOST_EACH
+    assert sorted(tuple(r) for r in secrets.labelled_windows(docs).collect()) == sorted(every)
+    monkeypatch.setattr(secrets, "BLOCK", 1_000)
+    blocks, many = secrets.in_blocks(secrets.labelled_windows(docs))
+    dealt = [(r.held, r.windows[k * secrets.WINDOW :][: secrets.WINDOW], r.found[k], r["class"][k]) for r in blocks.collect() for k in range(len(r.found))]
+    assert many == -(-len(every) // 1_000) and sorted(dealt) == sorted((secrets.held_back(r[0]), *r) for r in every)
+    net = secrets.trained_once(blocks, secrets.Net(), 0)
+    assert sum(r.n for r in secrets.held_counts(blocks, net)) == sum(d[0] for d in dealt)
+    monkeypatch.setattr(secrets, "ROUNDS", 40)  # such blocks have a dozen steps in a round
+    net = secrets.Net.load(secrets.fit(docs))
+    rows = sorted({r for t in texts[1600:2400] for r in secrets.labelled(t)} - every)
+    x, y, group = secrets.arrays(rows)
+    hit = net.probability(x) >= net.p["limit"][0]
+    assert hit[group == 2].mean() >= 0.9 and hit[group == 3].mean() <= 0.1
+
+
 def test_whole_candidates_are_seen():
     text = "x " + "ab1" * 100 + " end"
     (s, e), seen = secrets.other_candidates(text, [])[0], secrets.windows(text, 2, 302)
