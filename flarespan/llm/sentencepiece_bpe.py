@@ -3,7 +3,8 @@
 At each position the longest piece is taken (found for all positions in one pass of an
 Aho-Corasick automaton over the reversed text).  A piece may follow its neighbour only if merging
 the two texts again gives back just these two pieces; as only merges across the joint can differ,
-the check replays those, latest first.  Where no piece fits,
+the check replays those, latest first; which of a piece's beginnings is the longest that may follow
+another piece is remembered.  Where no piece fits,
 the last one is taken back and its end position is marked as failed in a bitfield, so every
 position fails at most once.  The result is the same as that of merging by score.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from functools import partial
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 SPACE = "▁"
-#: Entries kept by each of a task's caches (segments; pairs of pieces).
-CACHE, PAIRS = 160_000, 100_000
+#: Entries kept by each of a worker's caches (segments, about 250 bytes each, where no other number is given; pairs of pieces).
+CACHE, PAIRS = 240_000, 100_000
 
 
 def read_model(path: str) -> dict:
@@ -50,25 +52,20 @@ def read_model(path: str) -> dict:
 
 
 class Segments(dict):
-    """Segment to number of ids, ids joined by commas, and bytes decoded from the ids.
+    """Segment to its ids, as a string of the characters with these numbers, which takes little memory and is quickly joined.
 
-    Short segments are kept in two generations of half of CACHE: when the young one is full it becomes the old one, whose
+    Short segments are kept in two generations of half of ``most``: when the young one is full it becomes the old one, whose
     segments move back as they are met again, so frequent ones are never encoded anew.
     """
 
-    def __init__(self, encoder: "Encoder") -> None:
+    def __init__(self, encoder: "Encoder", most: int) -> None:
         super().__init__()
-        self.encoder, self.old, self.raws = encoder, {}, Decoder(encoder.model).raws
-        self.written = {i: str(i) for i in self.raws}
+        self.encoder, self.most, self.old = encoder, most, {}
 
-    def encoded(self, text: str) -> tuple[int, str, bytes]:
-        ids = self.encoder.ids(text)
-        return len(ids), ",".join(map(self.written.__getitem__, ids)), b"".join(map(self.raws.__getitem__, ids))
-
-    def __missing__(self, text: str) -> tuple[int, str, bytes]:
-        found = self.old.get(text) or self.encoded(text)
+    def __missing__(self, text: str) -> str:
+        found = self.old.get(text) or "".join(map(chr, self.encoder.ids(text)))
         if len(text) <= 64:
-            if len(self) >= CACHE // 2:
+            if len(self) >= self.most // 2:
                 self.old = dict(self)
                 self.clear()
             self[text] = found
@@ -76,22 +73,31 @@ class Segments(dict):
 
 
 class Encoder:
-    def __init__(self, model: dict) -> None:
+    def __init__(self, model: dict, most: int = CACHE) -> None:
         self.model, self.pieces, self.byte_ids = model, model["pieces"], model["bytes"]
         self.pairs: dict = {}
-        self.segments = Segments(self)
+        self.segments, raws = Segments(self, most), Decoder(model).raws
+        self.raws = [raws.get(i, "") for i in range(1 + max(raws))]
+        self.written = [f"{i}," for i in range(len(self.raws))]
         order = {score: k for k, score in enumerate(sorted({score for _, score in self.pieces.values()}, reverse=True))}
         self.rank = {p: order[score] for p, (_, score) in self.pieces.items()}
         # the last merge that makes each piece; a piece that merging never makes is no candidate
         self.made = {p: parts for p in self.pieces if len(p) > 1 and len(parts := self.merge(p, 2)) == 2 and self.merge(p) == [p]}
         self.tokens = {p for p in self.pieces if len(p) == 1} | set(self.made)
-        self.shorter = {}
-        for p in self.tokens:
-            self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.tokens or k == 1), None)
+        # in the tables tokens are numbers: their ids; beyond these, characters of pieces that are none, and last any other character
+        self.most = 1 + max(i for i, _ in self.pieces.values())
+        numbers = {p: self.pieces[p][0] for p in self.tokens}
+        numbers |= {c: self.most + k for k, c in enumerate(sorted({c for p in self.pieces for c in p} - self.tokens))}
+        self.other = max(self.most, 1 + max(numbers.values()))
+        self.texts, self.shorter = ["\ud800"] * (self.other + 1), [-1] * (self.other + 1)
+        for p, i in numbers.items():
+            self.texts[i] = p
+            self.shorter[i] = next((numbers[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.tokens or k == 1), -1)
+        self.sizes, self.single = list(map(len, self.texts)), {p: i for p, i in numbers.items() if len(p) == 1}
         self.find = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in self.tokens:
             if len(p) > 1:
-                self.find.add_word(p[::-1], len(p))
+                self.find.add_word(p[::-1], numbers[p])
         self.find.make_automaton()
         # no piece has a space after other characters, so a text falls apart before each run of
         # spaces; also between marks that join no other characters and those; and before a mark
@@ -124,13 +130,15 @@ class Encoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.stays(a, b)
-        return found
+    def fitting(self, last: int, token: int) -> int:
+        """The longest of ``token`` and its beginnings that may follow ``last``, or -1."""
+        fits = token
+        while fits >= 0 and not self.stays(self.texts[last], self.texts[fits]):
+            fits = self.shorter[fits]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[last * len(self.texts) + token] = fits
+        return fits
 
     def stays(self, a: str, b: str) -> bool:
         """Whether no merge across the joint of a and b comes before those that make a and b.
@@ -152,41 +160,45 @@ class Encoder:
             else:
                 before, b = rb + 1, made[b][0]
 
-    def split(self, text: str) -> list[str]:
-        """The pieces (or single characters that are none) of a segment."""
+    def split(self, text: str) -> list[int]:
+        """The numbers of the pieces (or single characters that are none) of a segment."""
         n = len(text)
         # matches at a place come longest first; turned round, the longest is the one that stays in the dict
-        longest = dict(list(self.find.iter(text[::-1]))[::-1])
-        size = longest.get
-        pairs, shorter = self.pairs, self.shorter
+        longest = dict(list(self.find.iter(text[::-1]))[::-1]).get
+        known, shorter, sizes, many = self.pairs.get, self.shorter, self.sizes, len(self.texts)
         failed = 0  # bit p: no valid continuation from position p
-        out: list[str] = []
-        at, last, token = 0, None, text[: size(n - 1, 1)]
+        out: list[int] = []
+        at, last, token = 0, -1, longest(n - 1)
         while True:
-            end = at + len(token)
-            if not failed >> end & 1:
-                fits = last is None or pairs.get((last, token))
-                if fits is None:
-                    fits = self.compatible(last, token)
-                if fits:
-                    out.append(token)
-                    if end == n:
-                        return out
-                    at, last, token = end, token, text[end : end + size(n - 1 - end, 1)]
-                    continue
-            token = shorter.get(token)
             if token is None:
+                token = self.single.get(text[at], self.other)
+            if token >= 0 and last >= 0:
+                fits = known(last * many + token)
+                token = self.fitting(last, token) if fits is None else fits
+            if token >= 0:
+                end = at + sizes[token]
+                if failed and failed >> end & 1:
+                    token = shorter[token]
+                    continue
+                out.append(token)
+                if end == n:
+                    return out
+                at, last, token = end, token, longest(n - 1 - end)
+            else:
                 failed |= 1 << at
                 token = out.pop()
-                at -= len(token)
-                last = out[-1] if out else None
+                at -= sizes[token]
+                last, token = out[-1] if out else -1, shorter[token]
 
     def ids(self, text: str) -> list[int]:
-        parts = self.split(text)
-        try:
-            return [self.pieces[p][0] for p in parts]
-        except KeyError:  # a character that is no piece
-            return [i for p in parts for i in ([self.pieces[p][0]] if p in self.pieces else [self.byte_ids[b] for b in p.encode("utf-8")])]
+        found = self.split(text)
+        if max(found) < self.most:
+            return found
+        out, at = [], 0  # characters that are no pieces
+        for i in found:
+            out += [i] if i < self.most else [self.byte_ids[b] for b in text[at].encode("utf-8")]
+            at += self.sizes[i]
+        return out
 
     def cut_up(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -201,8 +213,9 @@ class Decoder:
     def __init__(self, model: dict) -> None:
         self.text = {i: p.replace(SPACE, " ") for p, (i, _) in model["pieces"].items()}
         self.byte = {i: b for b, i in model["bytes"].items()}
-        #: The bytes of an id, the leading space kept: those of adjacent segments join to those of the whole.
-        self.raws = {i: t.encode("utf-8") for i, t in self.text.items()} | {i: bytes([b]) for i, b in self.byte.items()}
+        #: The text of an id, the leading space kept, of a byte that is no character its stand-in: joined, they give the bytes of the whole.
+        self.raws = self.text | {i: bytes([b]).decode("utf-8", "surrogateescape") for i, b in self.byte.items()}
+
     def decode(self, ids: list[int]) -> str:
         out, run = [], bytearray()
         for i in ids:
@@ -237,10 +250,10 @@ def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
     return map_texts(packed, _task(tokens, model_path, run), {"text": "string"}, text="ids")
 
 
-def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, digest of the ids, digest of the decoded text; ids and texts stay in the task."""
+def round_trip(docs: DataFrame, model_path: str, most: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, digest of the ids, digest of the decoded text; ids and texts stay in the task, a worker keeps ``most`` segments."""
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    return map_texts(docs, _task(docs, model_path, _digests), kinds)
+    return map_texts(docs, _task(docs, model_path, partial(_digests, most=most)), kinds)
 
 
 def _task(df: DataFrame, model_path: str, fn):
@@ -257,10 +270,10 @@ def _task(df: DataFrame, model_path: str, fn):
 _encoders: list = []
 
 
-def _encoder(model: dict) -> Encoder:
+def _encoder(model: dict, most: int = CACHE) -> Encoder:
     """One encoder for each Python worker, with its caches."""
-    if not _encoders or _encoders[0][0] is not model:
-        _encoders[:] = [(model, Encoder(model))]
+    if not _encoders or _encoders[0][0] is not model or _encoders[0][1].segments.most != most:
+        _encoders[:] = [(model, Encoder(model, most))]
     return _encoders[0][1]
 
 
@@ -269,15 +282,15 @@ def _ids(model, raw):
     return {"n_tokens": [len(x) for x in ids], "ids": ids}
 
 
-def _digests(model, raw):
-    encoder = _encoder(model)
+def _digests(model, raw, most=CACHE):
+    encoder = _encoder(model, most)
+    segment, raws, written = encoder.segments.__getitem__, encoder.raws, encoder.written
     n_tokens, ids_sha, decoded_sha = [], [], []
     for x in raw:
-        parts = list(map(encoder.segments.__getitem__, encoder.cut_up(x.decode("utf-8", "replace"))))
-        sizes, ids, raws = zip(*parts, strict=True) if parts else ((), (), ())
-        n_tokens.append(sum(sizes))
-        ids_sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        data = b"".join(raws).removeprefix(b" ")
+        ids = "".join(map(segment, encoder.cut_up(x.decode("utf-8", "replace"))))
+        n_tokens.append(len(ids))
+        ids_sha.append(hashlib.sha256(ids.translate(written)[:-1].encode()).hexdigest())
+        data = ids.translate(raws).removeprefix(" ").encode("utf-8", "surrogateescape")
         # runs of bytes are joined across segments; pieces are whole characters, so damage stays inside a run
         decoded_sha.append(hashlib.sha256(data.decode("utf-8", "replace").encode("utf-8")).hexdigest())
     return {"n_tokens": n_tokens, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}

@@ -187,6 +187,23 @@ def test_encoding_equals_library():
         assert mine.encode(t) == ids and back.decode(ids) == lib.decode(ids)
 
 
+def test_segments_are_kept_in_little_memory_and_characters_that_are_no_pieces_encoded():
+    model, lib = sentencepiece_bpe.read_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder = sentencepiece_bpe.Encoder(model, 200)
+    words = [f"word{i}🜁{chr(0x4E00 + 37 * i)}" for i in range(400)]
+    for t in [*words, *words[::-1], "x" * 100]:
+        kept = encoder.segments["▁" + t]
+        assert isinstance(kept, str) and list(map(ord, kept)) == lib.encode(t)
+    assert len(encoder.segments) <= 100 and len(encoder.segments.old) <= 100
+    # which beginning of a piece may follow another is looked up once, not piece by piece
+    encoder.pairs.clear()
+    tried, stays = [], encoder.stays
+    encoder.stays = lambda a, b: tried.append((a, b)) or stays(a, b)
+    first = [encoder.split("▁" + t) for t in ("thstblesh", "ofonshenat", "enenreesatan")]
+    n = len(tried)
+    assert n and first == [encoder.split("▁" + t) for t in ("thstblesh", "ofonshenat", "enenreesatan")] and len(tried) == n
+
+
 def test_digests_are_of_the_text_decoded_from_the_ids(monkeypatch):
     model, lib = sentencepiece_bpe.read_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(4)
