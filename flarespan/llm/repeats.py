@@ -41,6 +41,8 @@ from .common import forget, give_back, hot_join, map_texts, mix, sized, slices,
 
 #: Starts of strings that are handled at a time, and bytes of text cut into words at a time.
 PIECE = 1 << 20
+#: Symbols of short texts that are read as one.
+JOINT = 1 << 15
 #: Entries from which on there is a second batch; each doubling adds one.
 FIRST_BATCH = 1 << 20
 KEY, ENTRY = ["k1", "k2"], ["head", "gram", "body"]
@@ -160,6 +162,28 @@ def runs(symbols: np.ndarray, unit: Unit, roll: Rolling):
         yield s, sums, first, np.r_[first[1:], len(at)] - 1, at[first]
 
 
+def joint_runs(texts: list[np.ndarray], unit: Unit, roll: Rolling):
+    """The runs of several texts, read as one so that short texts cost little: symbols, sums, number of the text, its start, first, last, anchor.
+
+    Places count from the start of the first text; strings that reach into the next text are left out.
+    """
+    symbols, sizes = np.concatenate(texts), np.array([len(x) for x in texts])
+    ends = np.cumsum(sizes)
+    sums, n = roll.sums(unit.values(symbols)), len(symbols)
+    at = anchors(roll.prints(sums, slice(0, n - unit.gram + 1), slice(unit.gram, n + 1)), unit.span)
+    starts = ends - sizes
+    new = np.r_[True, at[1:] != at[:-1]]
+    new[starts] = True
+    beyond = (ends - unit.length + 1)[:-1]  # the first string of each text but the last that reaches into the next
+    new[beyond] = True
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(at)] - 1
+    text = np.searchsorted(ends, first, "right")
+    whole = first <= ends[text] - unit.length
+    first, last, text = first[whole], last[whole], text[whole]
+    return symbols, sums, text, starts[text], first, last, at[first]
+
+
 def text_key(data: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), "<i8").tolist())
 
@@ -182,17 +206,40 @@ def entries(docs: DataFrame, unit: Unit) -> DataFrame:
         roll, seen, read = Rolling(), Seen(), unit.reader()
 
         def run(raw):
-            out = {c: [] for c in kinds}
+            out, short, keys, size = {c: [] for c in kinds}, [], [], 0
+
+            def add(k1, k2, symbols, sums, start, s, first, last, at):
+                """``start`` is that of the text in ``symbols``, ``s`` that of ``symbols`` from which the places count."""
+                body = mix(roll.prints(sums, first, last + unit.length) ^ (at - first).astype(np.uint64) ^ (last - first).astype(np.uint64) << np.uint64(20))
+                gram = roll.prints(sums, at, at + unit.gram).view(np.int64)
+                for c, v in zip(out, (k1, k2, unit.heads(symbols, at + s), gram, body.view(np.int64), first + s - start, last + s - start, at + s - start), strict=True):
+                    out[c].append(v)
+
+            def add_short():
+                symbols, sums, text, start, first, last, at = joint_runs(short, unit, roll)
+                k1, k2 = np.array(keys, np.int64).T[:, text]
+                add(k1, k2, symbols, sums, start, 0, first, last, at)
+                short.clear()
+                keys.clear()
+
             for x in raw:
                 if len(x) < unit.length or not seen.new(key := text_key(x)):
                     continue
                 symbols = read(x)
-                for s, sums, first, last, at in runs(symbols, unit, roll):
-                    n = len(first)
-                    body = mix(roll.prints(sums, first, last + unit.length) ^ (at - first).astype(np.uint64) ^ (last - first).astype(np.uint64) << np.uint64(20))
-                    gram = roll.prints(sums, at, at + unit.gram).view(np.int64)
-                    for c, v in zip(out, (np.full(n, key[0]), np.full(n, key[1]), unit.heads(symbols, at + s), gram, body.view(np.int64), first + s, last + s, at + s), strict=True):
-                        out[c].append(v)
+                if len(symbols) < unit.length:
+                    continue
+                if len(symbols) > JOINT:
+                    for s, sums, first, last, at in runs(symbols, unit, roll):
+                        add(np.full(len(first), key[0]), np.full(len(first), key[1]), symbols, sums, 0, s, first, last, at)
+                    continue
+                if size + len(symbols) > JOINT:
+                    add_short()
+                    size = 0
+                short.append(symbols)
+                keys.append(key)
+                size += len(symbols)
+            if short:
+                add_short()
             out = {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
             return {"_row": np.zeros(len(out["k1"]), np.int64)} | out
 

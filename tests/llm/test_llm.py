@@ -248,3 +248,21 @@ def test_pipeline_runs_whole(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_short_texts_read_as_one_have_the_runs_of_each(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    texts = [*base, *(a[-500:] + b for a, b in zip(base, base[1:], strict=False)), "a" * 400, "a" * 399, "w " * 51, "w " * 50, "ab" * 500, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for unit in (repeats.BYTES, repeats.PASSAGES):
+        found = []
+        for joint in (0, 4_000, 1 << 15):  # 0: each text alone
+            monkeypatch.setattr(repeats, "JOINT", joint)
+            found.append(sorted(tuple(r) for r in repeats.entries(docs, unit).collect()))
+        assert found[0] and found[0] == found[1] == found[2]
+    calls, anchors = [], repeats.anchors
+    monkeypatch.setattr(repeats, "anchors", lambda *a: calls.append(a) or anchors(*a))
+    roll, many = repeats.Rolling(), [np.frombuffer(t.encode(), np.uint8) for t in texts if len(t) >= 400]
+    repeats.joint_runs(many, repeats.BYTES, roll)
+    assert len(calls) == 1 < len(many)
