@@ -277,7 +277,7 @@ QUERIES = {
     "e8_e9_embed": lambda s, d: embedded(s, d).select("row_id", F.size("embedding").alias("width"), F.round(F.sqrt(enc.dot(F.col("embedding"), F.col("embedding"))), 6).alias("length")),
     "e10_fold_assign": lambda s, d: graph.fold_assign(events(s, d), "label").select("row_id", "fold"),
     "e11_oof_enrich": enriched,
-    "e12_edge_reciprocity": lambda s, d: r6(graph.edge_reciprocity(edges(s, d)), "reciprocity"),
+    "e12_edge_reciprocity": lambda s, d: r6(graph.signed_knn_reciprocity(reference(s, d), 0.05, 0.03, 2.0), "reciprocity"),
     "e13_path_metrics": lambda s, d: r6(paths.path_metrics(edges(s, d)), "mean_path"),
     "e14_strong_components": lambda s, d: paths.strong_components(edges(s, d), reference(s, d)),
     "e15_select_k_ratios": lambda s, d: r6(emb.select_k_ratios(graph.stratified_sample(vectors(s, d), "label", 500)), "mean_path", "reciprocity", "score"),
