@@ -273,7 +273,7 @@ QUERIES = {
     "g11_fit_predict": job_predictions,
     "g11_g12_update_summary": job_update,
     "e6_query_edges": lambda s, d: r6(emb.query_edges(unseen(s, d), reference(s, d), 0.05, 0.03, 2.0), "distance"),
-    "e7_signed_neighbor_mean": lambda s, d: r6(graph.signed_neighbor_mean(graph.edge_weights(edges(s, d)), reference(s, d)), "mean").withColumnRenamed("at", "place"),
+    "e7_signed_neighbor_mean": lambda s, d: r6(graph.signed_knn_means(reference(s, d), 0.05, 0.03, 2.0), "mean").withColumnRenamed("at", "place"),
     "e8_e9_embed": lambda s, d: embedded(s, d).select("row_id", F.size("embedding").alias("width"), F.round(F.sqrt(enc.dot(F.col("embedding"), F.col("embedding"))), 6).alias("length")),
     "e10_fold_assign": lambda s, d: graph.fold_assign(events(s, d), "label").select("row_id", "fold"),
     "e11_oof_enrich": enriched,
