@@ -267,7 +267,7 @@ QUERIES = {
     "e2_k_from_ratio": neighbour_counts,
     "e3_signed_knn_edges": lambda s, d: r6(edges(s, d), "distance"),
     "e4_edge_weights": lambda s, d: r6(graph.signed_knn_edges(reference(s, d), 0.05, 0.03, 2.0, weighted=True).select("src", "dst", "weight"), "weight"),
-    "e5_vote_label": lambda s, d: graph.vote_label(edges(s, d), reference(s, d), 3),
+    "e5_vote_label": lambda s, d: graph.vote_nearest(reference(s, d), 0.05, 0.03, 3, 2.0),
     "d1_shap_importance": importance_inside,
     "e5_vote_unseen": lambda s, d: emb.vote_unseen(unseen(s, d), reference(s, d), 0.05, 2.0),
     "g11_fit_predict": job_predictions,
